@@ -201,19 +201,19 @@ def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -
     return rest.mapInArrow(run, schema)
 
 
-def _splits(docs: DataFrame, rows: int, most: int, over: int = 8) -> np.ndarray:
+def _splits(docs: DataFrame, rows: int, most: int, over: int = 4) -> np.ndarray:
     """Ascending ids at which buckets of about `rows` rows start; each is the id of a row, the first is the least."""
     key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("key")
     ids = docs.select(key)
     n, least = ids.agg(F.count("*"), F.min("key")).first()
     if not n:
         return np.zeros(0, np.int64)
-    step = max(1, n * over // (over * max(1, min(n // rows, most)))  // over)
+    step = max(1, n // (over * max(1, min(n // rows, most))))
     got = [r[0] for r in ids.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).distinct().collect()]
     return np.unique(np.array([least, *sorted(got)[over // 2 :: over]], np.int64))
 
 
-def with_next(docs: DataFrame, rows: int = 64, most: int = 1_000_000) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = 64, most: int = 100_000) -> DataFrame:
     """Rows (bucket, look, doc_id, text) dealt so that a row's next in (doc_id, text) order follows it in its partition.
 
     Buckets start at ids of a bounded sample (at most `most` of them); the first row of a bucket also goes to the one

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS
+from ._common import BLANKS, cut
 
 RISK, LEVEL = 0.05, 0.05
 SYMBOLS = b"#*$%&|<>"
@@ -51,7 +51,7 @@ def counts_of(raw: bytes) -> tuple[int, ...]:
     words = raw.split()  # bytes split at exactly the six ASCII blanks
     n = len(words)
     inside = len(raw) - sum(map(raw.count, (b"\x20", b"\x09", b"\x0a", b"\x0b", b"\x0c", b"\x0d")))
-    chars = inside - sum(1 for _ in ()) if raw.isascii() else inside - int(((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80).sum())
+    chars = inside if raw.isascii() else inside - int(((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80).sum())
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip(BLANKS)]
     repeated = 0
@@ -60,14 +60,15 @@ def counts_of(raw: bytes) -> tuple[int, ...]:
         w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, n)
         m = len(ids)
         if m < n:
-            t = (w[:-2] * m + w[1:-1]) * m + w[2:]
+            two = np.unique(w[:-1] * m + w[1:], return_inverse=True)[1] if m > 2_000_000 else w[:-1] * m + w[1:]
+            t = two[:-1] * m + w[2:]
             order = np.argsort(t, kind="stable")
             same = t[order[1:]] == t[order[:-1]]
             if same.any():
                 hit = np.zeros(n, bool)
-                two = np.concatenate([order[1:][same], order[:-1][same]])
+                found = np.concatenate([order[1:][same], order[:-1][same]])
                 for k in range(3):
-                    hit[two + k] = True
+                    hit[found + k] = True
                 repeated = int(hit.sum())
     letters = raw.translate(None, _NOT_UPPER), raw.translate(None, _NOT_LETTER)
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines), len(letters[0]), len(letters[1]), raw.count(b"!") - raw.count(b"!!")
@@ -131,3 +132,16 @@ def judge(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") ->
         for rule, c in rules.items():
             bad = bad | (F.col(stratum).eqNullSafe(F.lit(s)) & (by[rule] > c))
     return ~bad
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """doc_id, the counts, base_failed and kept for every document.
+
+    Cutoffs are learned from the labelled documents: rows of labels with quality 1 are the good ones. A document with
+    several label rows counts once and is good if any of them says so; null ids match nothing. kept is false if base_failed.
+    """
+    counted = cut(measure(docs, ["doc_id", stratum]))
+    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    cutoffs = learn(counted.join(marked.where("good").select("doc_id"), "doc_id", "left_semi"), F.lit(True), stratum, risk, level)
+    kept = F.when(base_failed(), F.lit(False)).otherwise(judge(cutoffs, stratum))
+    return counted.select("doc_id", *COUNTS, base_failed().alias("base_failed"), kept.alias("kept"))

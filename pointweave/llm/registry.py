@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lcp, rules, secrets
+from . import langid, lcp, mixing, packing, quality, rules, secrets
 from ._common import fold, session, table
 
 
@@ -25,10 +25,37 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(docs, labels)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(session(spark), sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(session(spark), sf_dir, "documents")
+    held = fold(3) == 1
+    prototypes = langid.learn(docs, ~held)
+    return langid.predict(docs.withColumn("held_out", held), prototypes, ["doc_id", "held_out"])
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold(4) == 2
+    model = quality.learn(docs, labels.where(~held).withColumn("label", F.col("quality")))
+    scored = quality.score(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_quality_rules": op3_quality_rules,
+    "op6_mixing": op6_mixing,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}

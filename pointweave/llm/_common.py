@@ -6,6 +6,7 @@ import hashlib
 import os
 import tempfile
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +87,51 @@ def scratch(df: DataFrame) -> str:
     """A folder for written tables, below the shared checkpoint folder where one is named."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     return os.path.join(base or tempfile.mkdtemp(prefix="scratch-"), "tables")
+
+
+_BYTE = seeded(256, 77) | U64(1)
+_R = U64(0x9E6C63D0676A9A99)
+_RINV = U64(pow(int(_R), -1, 1 << 64))
+
+
+def _powers(n: int, _kept: list = [np.ones(1, U64), np.ones(1, U64)]) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    if len(_kept[0]) < n:
+        with np.errstate(over="ignore"):
+            for i, r in enumerate((_R, _RINV)):
+                x = np.full(max(n, 1 << 16), r, U64)
+                x[0] = 1
+                _kept[i] = np.cumprod(x, dtype=U64)
+    return _kept[0], _kept[1]
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of documents that lie end to end: their 64-bit hashes, first bytes and ends, and the n + 1 word offsets."""
+    n = len(offsets) - 1
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    blank = np.zeros(256, bool)
+    blank[list(BLANKS)] = True
+    inside = ~blank[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    begin, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    power, inverse = _powers(len(data))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, U64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
+        hashes = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
+    return hashes, begin, end, np.searchsorted(begin, offsets)
+
+
+def chunks_of(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) over runs of rows with about `size` bytes; a longer text makes a run alone."""
+    data, offsets = bytes_of(column)
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lcp, mixing, packing, quality, rules, secrets
+from . import langid, lcp, mixing, neardup, packing, quality, rules, secrets
 from ._common import fold, session, table
 
 
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(docs, labels)
 
 
+def op4_bagminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(session(spark), sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
     "op3_quality_rules": op3_quality_rules,
+    "op4_bagminhash_neardup": op4_bagminhash_neardup,
     "op6_mixing": op6_mixing,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lcp, mixing, neardup, packing, quality, rules, secrets
+from . import fm_dedup, langid, lcp, mixing, neardup, packing, quality, rules, secrets, suffix_dedup
 from ._common import fold, session, table
 
 
@@ -29,10 +29,18 @@ def op4_bagminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(session(spark), sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(session(spark), sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.remove(table(session(spark), sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(session(spark), sf_dir, "documents"))
 
@@ -57,7 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality_rules": op3_quality_rules,
     "op4_bagminhash_neardup": op4_bagminhash_neardup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
+    "op7_fm_dedup": op7_fm_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,

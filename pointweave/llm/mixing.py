@@ -14,7 +14,9 @@ through CHUNKS hash ranges, so that no task holds a whole source.
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, bytes_of, cut
+from ._common import BLANKS, WORD, bytes_of, cut
 
 SLOTS, REPEATS, MAX_SOURCES, CHUNKS = 1 << 18, 3, 100_000, 1 << 14
 GOLDEN = (math.sqrt(5) - 1) / 2
 WEIGHTS = (1, 2, 3)
+_WORD = re.compile(WORD)
 
 
 def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -136,3 +139,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOT
     rest = F.col("words") - turns * F.col("source_size")
     taken = turns * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("begin")))
     return at.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+    """The mix itself: docs' columns, a row for each time a document is taken; one that is cut gives its first words.
+
+    Rows that agree in doc_id, text and source share what they take evenly, to a word. _key, _source, _size and _taken are
+    names of the operator's own: docs' columns of those names are dropped.
+    """
+    docs = docs.drop("_key", "_source", "_size", "_taken")
+    each = mix(docs, weights, slots).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
+    key = F.xxhash64(F.lit("mix"), "doc_id", "text")
+    rows = docs.join(each, (key == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))).where("_taken > 0").drop("_key", "_source")
+    names = docs.columns
+    text_at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, taken = b.column(len(names)).to_numpy(), b.column(len(names) + 1).to_numpy()
+            whole, part = taken // size, taken % size
+            if whole.any():
+                yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names).take(pa.array(np.repeat(np.arange(len(whole)), whole)))
+            some = np.flatnonzero(part)
+            if len(some):
+                cutted = b.take(pa.array(some))
+                texts = []
+                for t, k in zip(cutted.column(text_at).to_pylist(), part[some].tolist(), strict=True):
+                    texts.append(t[: next(itertools.islice(_WORD.finditer(t), k - 1, None)).end()])
+                cols = cutted.columns[: len(names)]
+                cols[text_at] = pa.array(texts, cols[text_at].type)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(run, docs.schema)

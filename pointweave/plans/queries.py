@@ -23,8 +23,8 @@ def _bins(spark: SparkSession, d: str, trust: str = "level") -> DataFrame:
 
 
 def _oriented(spark: SparkSession, d: str) -> DataFrame:
-    """Bins with estimated normals, upwards."""
-    return normals.estimate(_bins(spark, d), CFG)
+    """Bins with estimated normals, upwards. They are written once: later steps use the normals many times over."""
+    return cut(normals.estimate(_bins(spark, d), CFG))
 
 
 def _field(spark: SparkSession, d: str) -> DataFrame:

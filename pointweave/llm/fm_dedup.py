@@ -65,14 +65,17 @@ class FMDedup(repeats.Method):
         return len(sizes).to_bytes(4, "little") + sizes.tobytes() + s.data[ragged(first, last)].tobytes()
 
     def solve(self, blobs: list[bytes], left: np.ndarray, right: np.ndarray, own: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        sizes, texts = [], []
+        parts, sizes = [], []
         for b in blobs:
             n = int.from_bytes(b[:4], "little")
-            sizes.append(np.frombuffer(b, "<u4", n, 4))
-            texts.append(b[4 + 4 * n :])
-        hashes, _, _, at = words_of(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)]))
+            bounds = np.concatenate([[0], np.cumsum(np.frombuffer(b, "<u4", n, 4), dtype=np.int64)])
+            h, _, _, at = words_of(np.frombuffer(b, np.uint8, offset=4 + 4 * n), bounds)
+            parts.append(h)
+            sizes.append(np.diff(at))
+        hashes, size = np.concatenate(parts), np.concatenate(sizes)
+        at = np.concatenate([[0], np.cumsum(size)])
         # equal surroundings are indexed once, with the rank of the earliest
-        n, size = len(left), np.diff(at)
+        n = len(left)
         power = _powers(int(size.max(initial=1)) + 1)[0]
         inner = np.arange(len(hashes)) - np.repeat(at[:-1], size)
         with np.errstate(over="ignore"):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import U64, bytes_of, cut, mix64, scratch, shuffle_partitions
 
-PACK, SLICE, HOT, SHARD = 1 << 20, 1 << 20, 256, 24 << 20
+PACK, SLICE, HOT, SHARD = 1 << 20, 1 << 20, 256, 16 << 20
 START = 40  # bits of a start within a document
 LAST = (1 << 63) - 1  # the place of null ids in the order of documents
 
@@ -153,7 +153,8 @@ def anchors(gram_hashes: Callable[[int, int], np.ndarray], n: int, offsets: np.n
         new = np.append(True, at[1:] != at[:-1])
         own = np.bitwise_or.reduceat(own, np.flatnonzero(new)) if len(at) else own
         at, h = at[new], h[new]
-    return Anchors(at, h, own, np.searchsorted(offsets, at, side="right") - 1)
+    # least hashes are small ones: mixed again, they spread evenly over the shards
+    return Anchors(at, mix64(h), own, np.searchsorted(offsets, at, side="right") - 1)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from . import repeats
 from ._common import U64, _BYTE, _powers, mix64
 from .suffixes import deep_shallow, letters
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM, CHUNK = 50, 24, 200_000
 
 
 class Bytes:
@@ -93,19 +93,29 @@ class SuffixDedup(repeats.Method):
         mixed = np.flatnonzero(np.bincount(group)[group] > 1)
         if not len(mixed):
             return out
-        bits = (own[some[mixed], None] >> np.arange(span, dtype=np.uint32)) & 1
-        i, back = np.nonzero(bits)
-        place = some[mixed[i]]
-        windows = letters(rows.reshape(-1)[(place * (width + 6) + span - 1 - back)[:, None] + np.arange(WINDOW)])
-        order, new = deep_shallow(windows, GRAM // 8)
+        earlier = np.zeros(len(some), np.uint32)
+        # anchor by anchor, as many at once as fit into CHUNK windows
+        total = np.cumsum(np.bitwise_count(own[some[mixed]]).astype(np.int64))
+        ends = np.flatnonzero(np.append(group[mixed][1:] != group[mixed][:-1], True)) + 1
+        a = 0
+        while a < len(mixed):
+            z = int(ends[max(np.searchsorted(total[ends - 1], (total[a - 1] if a else 0) + CHUNK, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+            self._windows(rows, some[mixed[a:z]], mixed[a:z], own, least, earlier)
+            a = z
+        return out | (earlier[kind] & own)
+
+    def _windows(self, rows: np.ndarray, places: np.ndarray, kinds: np.ndarray, own: np.ndarray, least: np.ndarray, earlier: np.ndarray) -> None:
+        """Sorts the windows of some kinds and sets, in `earlier`, those that a kind with a lesser document has too."""
+        span, width = self.shape.span, rows.shape[1]
+        i, back = np.nonzero((own[places, None] >> np.arange(span, dtype=np.uint32)) & 1)
+        views = np.lib.stride_tricks.sliding_window_view(rows.reshape(-1), WINDOW)
+        order, new = deep_shallow(letters(views[places[i] * width + span - 1 - back]), GRAM // 8)
         heads = np.flatnonzero(new)
-        mine = least[mixed[i]]
+        mine = least[kinds[i]]
         first = np.empty(len(order), np.int64)
         first[order] = np.repeat(np.minimum.reduceat(mine[order], heads), np.diff(heads, append=len(order)))
-        earlier = np.zeros(len(some), np.uint32)
         hit = first < mine
-        np.bitwise_or.at(earlier, mixed[i[hit]], np.uint32(1) << back[hit].astype(np.uint32))
-        return out | (earlier[kind] & own)
+        np.bitwise_or.at(earlier, kinds[i[hit]], np.uint32(1) << back[hit].astype(np.uint32))
 
     def rows(self, pack: repeats.Pack, s: Bytes, repeated: np.ndarray) -> pa.RecordBatch:
         gone = repeats.covered(repeated, WINDOW)

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import U64, bytes_of, mix64, sha
 
@@ -189,7 +190,7 @@ def fingerprints_of(texts: list[bytes]) -> list[np.ndarray]:
 def fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with the fingerprint of a text column; one pass, no shuffle. A column named out is replaced."""
     rest = docs.drop(out)
-    schema = rest.schema.add(out, "string")
+    schema = T.StructType([*rest.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -22,8 +22,8 @@ def arrivals(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def handler(mesher: SurfaceMesher, changed: Callable[[int, DataFrame], None], rejected: Callable[[int, int, int, str], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: previews before refined ones, then one extract; late arrivals go to `rejected`."""
+def handler(mesher: SurfaceMesher, changed: Callable[[int, DataFrame], None], rejected: Callable[[int, int, int, str], None], extract: bool = True) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: previews before refined ones, then one extract (if asked for); late arrivals go to `rejected`."""
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -33,17 +33,18 @@ def handler(mesher: SurfaceMesher, changed: Callable[[int, DataFrame], None], re
                     mesher.ingest(r["seg"], r["level"], batch.where((F.col("seg") == r["seg"]) & (F.col("level") == r["level"])))
                 except IngestError as e:
                     rejected(number, r["seg"], r["level"], str(e))
-            changed(number, mesher.extract())
+            if extract:
+                changed(number, mesher.extract())
         finally:
             batch.unpersist()
 
     return run
 
 
-def replay(spark: SparkSession, folder: str, mesher: SurfaceMesher, checkpoint: str, changed: Callable[[int, DataFrame], None] = lambda n, d: None) -> list[tuple[int, int, int, str]]:
+def replay(spark: SparkSession, folder: str, mesher: SurfaceMesher, checkpoint: str, changed: Callable[[int, DataFrame], None] = lambda n, d: None, extract: bool = True) -> list[tuple[int, int, int, str]]:
     """Runs all files through the mesher and returns the rejected arrivals (batch, seg, level, reason)."""
     late: list[tuple[int, int, int, str]] = []
-    query = arrivals(spark, folder).writeStream.foreachBatch(handler(mesher, changed, lambda *x: late.append(x))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = arrivals(spark, folder).writeStream.foreachBatch(handler(mesher, changed, lambda *x: late.append(x), extract)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return late
 

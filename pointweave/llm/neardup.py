@@ -5,14 +5,16 @@ Poisson process of points (time, component, weight level), split into dyadic wei
 its weight, and a component's signature is its first point. Two bags share a component's first point with probability equal
 to their weighted Jaccard similarity. A point later than the worst component cannot matter, which ends the work early.
 
-Texts with the same words are one node. Nodes meet in buckets (band number, ROWS components of the signature). Each round
-compares every bucket's next member in key order (its leader) with the members that are not yet in the leader's class; a
-comparison is exact, on the whole multisets. Members of one class need no comparison, so buckets of copies end after one
-round; a bucket stays open until its members are one class or each has been its leader, which is what comparing all pairs
-would find. No bucket or partner is capped. Links are joined into classes by label passing with pointer jumping; a class is
-named by its least doc_id.
-
-Chance: a pair at similarity THRESHOLD misses every bucket with probability (1 - 0.8 ** ROWS) ** BANDS < 4e-6.
+Texts with the same words are one node. Nodes meet in buckets (band number, ROWS components of the signature). First every
+node is compared with the least key of its buckets, then every bucket's least key with all members that are not yet in its
+class; a comparison is exact, on the whole multisets. Members of one class need no comparison, so buckets of copies are done
+then. In the buckets that are left all pairs of different classes are looked at, block by block: pairs whose signatures
+agree in less than a share of NEAR cannot reach the threshold and go; the others are compared exactly where they meet, and
+only links that join two classes come out. Nothing is capped.
+Links are joined into classes by label passing with pointer jumping; a class is named by its least doc_id.
+
+Chance: a pair at similarity THRESHOLD misses every bucket with probability (1 - 0.8 ** ROWS) ** BANDS < 6e-6, and agrees in
+less than NEAR of its components, which lies five standard deviations lower, with probability < 1e-6.
 Defined cases: texts without a word form one class; null counts as empty; null ids are allowed (a class of null ids has a
 null class_id); repeated rows share a class; an empty table gives no rows.
 """
@@ -26,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import U64, chunks_of, cut, mix64, seeded, words_of
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 5
+SHINGLE, THRESHOLD, BANDS, ROWS, NEAR, BLOCK = 5, 0.8, 40, 6, 0.67, 1000
 _MIX = seeded(SHINGLE, 501) | U64(1)
 _STEP = U64(0xD1342543DE82EF95)
 
@@ -119,8 +122,8 @@ def key_of(raw: bytes) -> bytes:
     return hashlib.sha256(b" ".join(raw.split())).digest()[:16]
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, bands): n counts shingles; bands is empty for a text without words."""
+def prints(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, key, n, bands, sketch) and the kept columns: n counts shingles; bands is empty for a text without words; sketch has a byte a component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,13 +131,19 @@ def prints(docs: DataFrame) -> DataFrame:
                 raw, n = data.tobytes(), end - first
                 hashes, _, _, at = words_of(data, offsets)
                 doc, value = shingles(hashes, at)
-                bands = bands_of(bag_min_hash(*weighted(doc, value), n))
+                signature = bag_min_hash(*weighted(doc, value), n)
+                bands = bands_of(signature)
+                sketch = (mix64(signature.view(U64)) & U64(255)).astype(np.uint8)
                 count = np.bincount(doc, minlength=n)
                 lists = [bands[i] if count[i] else [] for i in range(n)]
                 keys = [key_of(raw[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(keys, pa.binary()), pa.array(count, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([x.tobytes() for x in sketch], pa.binary()), *(c.slice(first, n) for c in b.columns[2:])], ["doc_id", "key", "n", "bands", "sketch", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, n long, bands array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    schema = T.StructType.fromDDL("doc_id long, key binary, n long, bands array<long>, sketch binary")
+    for f in source.schema.fields[2:]:
+        schema = schema.add(f)
+    return source.mapInArrow(run, schema)
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,6 +173,14 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", "text").mapInArrow(run, "key binary, bag binary")
 
 
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two bags (ascending, without repeats) reach the threshold."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= THRESHOLD * (len(both) - common) - 1e-9
+
+
 def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     """The pairs (a, b) whose multisets are similar enough: 9 * common >= 4 * (both sizes) at 0.8."""
 
@@ -171,11 +188,7 @@ def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
         for b in batches:
             on = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                on.append(common >= THRESHOLD * (len(both) - common) - 1e-9)
+                on.append(alike(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     left = pairs.join(bag.select(F.col("key").alias("a"), F.col("bag").alias("x")), "a")
@@ -197,44 +210,79 @@ def components(links: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFra
         labels = new.select("key", "label")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, key, n) for every row of docs (doc_id, text)."""
-    printed = cut(prints(docs))
+def close(state: DataFrame) -> DataFrame:
+    """Links (a, b) that join the labels of a bucket; state: bucket, key, n, label, bands, sketch, bag.
+
+    All pairs of different labels are looked at, in the first bucket that both are in: where sketches agree in a share of
+    NEAR, the multisets are compared. Members that links of this bucket have joined need no further comparison, so a group
+    gives fewer links than it has members. A bucket of over BLOCK members is dealt into blocks, a group for each two blocks.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("key").combine_chunks()
+        key, n, label, block = (t.column(c).to_pylist() for c in ("key", "n", "label", "block"))
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in t.column("sketch").to_pylist()])
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        bag = [np.frombuffer(x.as_buffer(), U64) for x in t.column("bag")]
+        n, block = np.array(n), np.array(block)
+        label = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+        band = int(np.flatnonzero(bands[0] == t.column("bucket")[0].as_py())[0])
+        across, a, b = block.min() != block.max(), [], []
+        for i in range(len(key)):
+            j = np.flatnonzero((label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) if across else True)) + i + 1
+            j = j[np.minimum(n[j], n[i]) >= THRESHOLD * np.maximum(n[j], n[i]) - 1e-9]
+            if len(j) and band:
+                j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+            if not len(j):
+                continue
+            agree = (sketch[j] == sketch[i]).mean(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for k in j[order[agree[order] >= NEAR]].tolist():
+                if label[k] != label[i] and alike(bag[i], bag[k]):
+                    a.append(key[i])
+                    b.append(key[k])
+                    label[label == label[k]] = label[i]
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    size = state.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = state.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return groups.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def classes(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, class_id, key, n) and the kept columns for every row of docs (doc_id, text); key names the class."""
+    printed = cut(prints(docs, keep))
     nodes = printed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("key", "n", F.explode("bands").alias("bucket"))
-    # counts of members first, so that lone ones do not move on
+    # members are counted first, so that lone ones do not move on
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    member = cut(rows.join(shared, "bucket"))
-    labels = links = None
-    bag = cut(bags(docs, member.select("key").distinct()))
-    leader = F.lit(None).cast("binary")
-    state = member.withColumn("label", F.col("key"))
-    first = True
-    while True:
-        # a bucket's leader: its least key that has not led yet; buckets of one label are done
+    state = cut(rows.join(shared, "bucket").select("bucket", "key", "n", F.col("key").alias("label")))
+    bag = cut(bags(docs, state.select("key").distinct()))
+    links = labels = None
+    fits = F.least("n", F.col("lead.n")) >= THRESHOLD * F.greatest("n", F.col("lead.n")) - 1e-9
+    for step in ("least leader", "all leaders", "rest"):
         lead = state.groupBy("bucket").agg(F.min(F.struct("key", "n", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
-        open_ = state.join(lead.select("bucket", "lead"), "bucket")
-        tries = open_.where((F.col("key") != F.col("lead.key")) & (F.col("label") != F.col("lead.label")))
-        fits = F.least("n", F.col("lead.n")) >= THRESHOLD * F.greatest("n", F.col("lead.n")) - 1e-9
-        pairs = tries.where(fits).select(F.col("lead.key").alias("a"), F.col("key").alias("b"))
-        if first:  # most members need their least leader only
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = cut(verified(pairs.distinct(), bag))
+        state = state.join(lead.select("bucket", "lead"), "bucket")  # buckets of one label are done
+        if step == "rest":
+            # what a member has to show is joined to the few that are left, once for each bucket
+            left = state.select("key").distinct()
+            shows = printed.join(left, "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).join(bag, "key")
+            found = cut(close(state.select("bucket", "key", "n", "label").join(shows, "key")))
+        else:
+            pairs = state.where((F.col("label") != F.col("lead.label")) & fits).select(F.col("lead.key").alias("a"), F.col("key").alias("b"))
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if step == "least leader" else pairs.distinct()
+            found = cut(verified(pairs, bag))
+        state = state.select("bucket", "key", "n", "label")
         if not found.isEmpty():
-            links = found if links is None else cut(links.union(found))
+            links = found if links is None else links.union(found)
             labels = components(links)
-        rest = open_ if first else open_.where(F.col("key") != F.col("lead.key"))
-        state = rest.select("bucket", "key", "n")
-        if labels is not None:
-            state = state.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
-        else:
-            state = state.withColumn("label", F.col("key"))
-        state = cut(state)
-        first = False
-        if state.isEmpty():
-            break
-    named = printed.select("doc_id", "key", "n")
+            state = state.select("bucket", "key", "n").join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
+        if step != "rest":
+            state = cut(state)
+    named = printed.select("doc_id", "key", "n", *keep)
     if labels is not None:
-        named = named.join(labels, "key", "left").withColumn("key", F.coalesce("label", "key"))
+        named = named.join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("key"), "n", *keep)
     least = named.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    return named.select("doc_id", "key", "n").join(least, "key").select("doc_id", "class_id", "key", "n")
+    return named.join(least, "key").select("doc_id", "class_id", "key", "n", *keep)

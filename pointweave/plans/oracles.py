@@ -190,13 +190,12 @@ def _graph(bins: str) -> str:
  FROM (SELECT *, unnest(range(-2, 3)) AS dx FROM {bins} WHERE {NEED}) s JOIN {bins} t ON t.seg = s.seg AND t.level = s.level AND t.kx = s.kx + s.dx AND t.ky BETWEEN s.ky - 2 AND s.ky + 2 AND t.kz BETWEEN s.kz - 2 AND s.kz + 2 AND NOT (t.kx = s.kx AND t.ky = s.ky AND t.kz = s.kz)"""
 
 
-GRAPH = [*E, ("graph", _graph("oriented"))]
+GRAPH = [*E, ("tilt", "SELECT * REPLACE (CASE WHEN kx % 5 <> 0 THEN least(nz, 699999) ELSE nz END AS nz, fixed AND kx % 5 = 0 AS fixed) FROM oriented"), ("graph", _graph("tilt"))]
 AGREE = [*E, ("base", f"SELECT gx, gy, gz, wd / w / 1000.0::DOUBLE AS d FROM ({_field(_splat('(SELECT * FROM oriented WHERE level = 1)'))}) WHERE w >= {ONE // 2}"),
          ("asked", "SELECT seg, level, kx, ky, kz, s, floor(ux)::BIGINT + x AS gx, floor(uy)::BIGINT + y AS gy, floor(uz)::BIGINT + z AS gz, 1.0::DOUBLE * (CASE WHEN x = 1 THEN ux - floor(ux) ELSE 1.0::DOUBLE - (ux - floor(ux)) END) * (CASE WHEN y = 1 THEN uy - floor(uy) ELSE 1.0::DOUBLE - (uy - floor(uy)) END) * (CASE WHEN z = 1 THEN uz - floor(uz) ELSE 1.0::DOUBLE - (uz - floor(uz)) END) AS wt FROM (SELECT *, "
           + ", ".join(f"(p{a} + s * 300.0::DOUBLE * (n{a} / 1000000.0::DOUBLE)) / 200.0::DOUBLE AS u{a}" for a in "xyz")
           + " FROM (SELECT * FROM oriented WHERE level = 0 AND NOT fixed), (SELECT unnest([-1.0::DOUBLE, 1.0::DOUBLE]) AS s), (SELECT unnest([0, 1]) AS x), (SELECT unnest([0, 1]) AS y), (SELECT unnest([0, 1]) AS z))"),
          ("agree", "SELECT seg, level, kx, ky, kz, round(least(greatest(rise / (600.0::DOUBLE * 1000000.0::DOUBLE), -1.0::DOUBLE), 1.0::DOUBLE), 6) AS a FROM (SELECT seg, level, kx, ky, kz, sum(round(wt * d * s * 1000000.0::DOUBLE)::BIGINT)::BIGINT AS rise FROM asked JOIN base USING (gx, gy, gz) GROUP BY seg, level, kx, ky, kz HAVING count(*) = 16)")]
-TILTED = [*E, ("tilted", "SELECT * REPLACE (least(nz, 699999) AS nz, false AS fixed) FROM oriented WHERE abs(nz) < 999500.0"), ("graph", _graph("tilted"))]
 QUAD_COLUMNS = ", ".join(["bx", "by", "bz", "gx", "gy", "gz", "axis", *(f"q{k}{a}" for k in range(4) for a in "xyz")])
 MM = "SELECT DISTINCT round(x / 1000.0::DOUBLE)::BIGINT AS x, round(y / 1000.0::DOUBLE)::BIGINT AS y, round(z / 1000.0::DOUBLE)::BIGINT AS z FROM used"
 MESH_STATS = "SELECT u.bx, u.by, u.bz, u.n AS vertices, q.n AS triangles FROM (SELECT bx, by, bz, count(*)::BIGINT AS n FROM used GROUP BY ALL) u JOIN (SELECT bx, by, bz, (2 * count(*))::BIGINT AS n FROM quads GROUP BY ALL) q ON q.bx = u.bx AND q.by = u.by AND q.bz = u.bz"

@@ -227,13 +227,20 @@ def q_segment_admission(spark, d):
     return accepted.select("seg", "level", F.lit("accepted").alias("reason")).unionByName(rejected.select("seg", "level", "reason"))
 
 
+def _tilted(spark, d):
+    """The sheet lies flat, where all normals are decided: four columns of five are made undecided."""
+    tilt = F.col("kx") % 5 != 0
+    b = _oriented(spark, d).withColumn("nz", F.when(tilt, F.least("nz", F.lit(699_999).cast("long"))).otherwise(F.col("nz")))
+    return cut(b.withColumn("fixed", F.col("fixed") & ~tilt))
+
+
 def q_neighbor_edges(spark, d):
-    g = orient.edges(_oriented(spark, d), CFG)
+    g = orient.edges(_tilted(spark, d), CFG)
     return g.groupBy("seg", "level", "skx", "sky", "skz").agg(F.count("*").alias("edges"), F.sum(F.round(F.col("v") * 1000).cast("long")).alias("v"), F.sum((~F.col("dst_need")).cast("long")).alias("seeds"))
 
 
 def q_best_seed_edge(spark, d):
-    s = orient.seed_edges(cut(orient.edges(_oriented(spark, d), CFG)))
+    s = orient.seed_edges(cut(orient.edges(_tilted(spark, d), CFG)))
     return s.withColumn("v", F.round(F.col("v") * 1000000).cast("long"))
 
 

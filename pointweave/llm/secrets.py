@@ -2,7 +2,7 @@
 
 Base spans are the leftmost non-overlapping matches of each pattern that pass its length. The method then looks at every
 token of 16 or more of the characters A-Za-z0-9+/_.=- that stands, on its line, within CONTEXT characters after a sensitive
-word and overlaps no base span. It compresses the surrounding text with and without the token, with a dictionary of
+word and overlaps no base span; of NAME=value, it looks at the value, which may be as short as 8. It compresses the surrounding text with and without the token, with a dictionary of
 identifiers and code; a token that adds at least NOVELTY bytes for each of its characters is reported as kind `novel`.
 
 Defined cases: null text counts as empty (no spans); equal rows give equal results; columns other than text are kept.
@@ -30,7 +30,11 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private_key", "privatekey", "credential", "bearer", "authorization", "auth_", "client_id", "session_id", "cookie", "signature")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 _SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Least characters of a token, and of a value after a name and a sign.
+LENGTH, SHORT = 16, 8
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+#: A sign between a name and a value; signs at the end are padding.
+_SIGN = re.compile(r"=+(?=[^=])")
 #: What code and configuration around a secret is made of; the compressor knows it before it sees a text.
 DICTIONARY = """
 import os sys json config settings environment def class return function const public private static void string int self
@@ -69,21 +73,36 @@ def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]], compres
         return []
     marks = [(m.start(), m.end()) for m in _SENSITIVE.finditer(text)]
     out, taken = [], [(s, e) for s, _, e in base]
+
+    def test(start: int, end: int) -> bool:
+        """Whether text[start:end] is novel; if so, it is reported."""
+        if any(s < end and start < e for s, e in taken):
+            return False
+        before = text[max(0, start - AROUND) : start].encode()
+        after = text[end : end + AROUND].encode()
+        token = text[start:end].encode()
+        added = len(compressor.compress(before + after + token)) - len(compressor.compress(before + after))
+        if added < novelty * len(token):
+            return False
+        out.append((start, 3, end))
+        return True
+
     done = -1
     for start, end in marks:
         stop = text.find("\n", end)
         stop = min(end + CONTEXT, len(text) if stop < 0 else stop)
-        at = max(start, done)
-        while at <= stop and (m := _TOKEN.search(text, at)) and m.start() <= stop:
+        at = max(end, done)
+        while at <= stop and (m := _RUN.search(text, at)) and m.start() <= stop:
             at = done = m.end()
-            if m.start() < end or any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            before = text[max(0, m.start() - AROUND) : m.start()].encode()
-            after = text[m.end() : m.end() + AROUND].encode()
-            token = m[0].encode()
-            added = len(compressor.compress(before + after + token)) - len(compressor.compress(before + after))
-            if added >= novelty * len(token):
-                out.append((m.start(), 3, m.end()))
+            # NAME=value: the value; if it is not novel as a whole, what stands between its own signs
+            cuts = [m.start(), *(m.start() + c.end() for c in _SIGN.finditer(m[0])), m.end()]
+            parts = list(zip(cuts, cuts[1:], strict=False))
+            least = SHORT if len(parts) > 1 else LENGTH
+            if len(parts) > 2 and m.end() - cuts[1] >= least and test(cuts[1], m.end()):
+                parts = parts[:1]
+            for i, (a, z) in enumerate(parts):
+                if z - a >= (least if i else LENGTH):
+                    test(a, z)
     return out
 
 

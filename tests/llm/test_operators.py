@@ -89,6 +89,24 @@ def test_novel_tokens_are_found_and_redacted(spark):
     assert got[3]["n_assign"] == 1 and got[3]["redacted"] == "<SECRET>"
 
 
+def test_values_written_straight_after_their_names(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ("AWS_SECRET_ACCESS_KEY", "export PRIVATE_KEY", "pwd", "x.access_key", "signature", "session_id", "a=b&credential")
+    rows, keys = [], []
+    for n in names:
+        for k in (12, 40):
+            keys.append("".join(rng.choice(letters) for _ in range(k)) + "=" * (k == 40))
+            rows.append((len(rows), f"some lines of a file with settings ahead\n{n}={keys[-1]}\nand a line after it"))
+    rows += [(100, "pwd=zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz"), (101, "private_key=/usr/local/bin/"), (102, "secret_access_key==============================")]
+    got = {r["doc_id"]: r for r in secrets.scan(session(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, key in enumerate(keys):
+        at = rows[i][1].index(key)
+        assert got[i]["spans"] == f"novel:{at}:{at + len(key)}", rows[i]
+        assert got[i]["redacted"] == rows[i][1].replace(key, "<SECRET>")
+    assert all(got[i]["spans"] == "" for i in (100, 101, 102))
+
+
 def test_secrets_of_odd_rows(odd, nothing):
     rows = secrets.scan(odd).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" for r in rows)

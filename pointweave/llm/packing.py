@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 CAPACITY, END, CHUNKS = 2048, 0, 1 << 14
+SPECIAL, RUN = "<|endoftext|>", 100_000
+#: What \s is in the tokenizer's pattern; Python's has four separators more.
+_BLANK_RUN = re.compile(r"[^\S\x1c-\x1f]+")
 
 
 class Tree:
@@ -121,7 +125,33 @@ class _Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.special = len(ranks)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of `tokenizers`: SPECIAL is one id, and what stands between its copies is encoded by itself."""
+        if SPECIAL not in text:
+            return self.ordinary(text)
+        ids: list[int] = []
+        for i, part in enumerate(text.split(SPECIAL)):
+            if i:
+                ids.append(self.special)
+            ids += self.ordinary(part)
+        return ids
+
+    def ordinary(self, text: str) -> list[int]:
+        """Runs of RUN blanks or more are too deep for the pattern's backtracking: the piece it would take of one is cut here."""
+        if len(text) < RUN:
+            return self.core.encode_ordinary(text)
+        ids, at = [], 0
+        for m in _BLANK_RUN.finditer(text):
+            if m.end() - m.start() >= RUN:
+                # the last blank goes with what follows, if anything does
+                end = m.end() - (m.end() < len(text))
+                ids += self.core.encode_ordinary(text[at : m.start()])
+                ids += self.core.encode_single_piece(text[m.start() : end].encode())
+                at = end
+        return ids + self.core.encode_ordinary(text[at:])
 
     @classmethod
     def get(cls, path: str) -> _Encoder:

@@ -276,6 +276,23 @@ def test_packing_against_plain_best_fit(spark, docs):
     assert len(places) == len(rooms)
 
 
+def test_ids_of_special_tokens_and_long_blank_runs():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing._Encoder.get(packing.ranks_path())
+    end, far = packing.SPECIAL, packing.RUN
+    texts = [end, f"a {end} b", f"{end}{end} \n {end}x  ", "<|endoftext|", "one  two\x1c\x1d\u3000\u2028 \x85three's"]
+    for blank in (" ", "\n", " \n\t", "\u3000"):
+        run = blank * (far // len(blank) + 7)
+        texts += [f"x{run}b", run, f"{run}b {end}{run}", f"x{run}", f"x {run}'s 9{run}\x1c{run}", f"é{run[: far - 1]}b"]
+    texts.append("x" + " " * 1_000_000 + "b")
+    for t in texts:
+        assert own.encode(t) == plain.encode(t, add_special_tokens=False).ids, (t[:30], len(t))
+
+
 def test_best_fit_uses_as_many_sequences_as_one_by_one():
     rng = random.Random(2)
     for _ in range(30):

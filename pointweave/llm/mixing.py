@@ -1,10 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-targets() shares the corpus among the sources by weight, none above REPEATS times its size. The schedule has a fixed number
-of slots at most (SLOTS); slot i stands at the golden-ratio point frac((i + 1/2) * 0.618...), which cumulative target
-shares map to a source. A slot's rank among its source's slots names the block it takes: a source's documents, shuffled by a
-salted hash, lie end to end on a tape that is cut into blocks of equal size, and slots take the blocks in turn, from the
-start again after the last. What a document gives is what the taken blocks cover of it.
+targets() shares the corpus among the sources by weight, none above REPEATS times its size. The schedule has a slot for each
+word of the corpus; slot i stands at the golden-ratio point frac((i + 1/2) * 0.618...), which cumulative target shares map
+to a source. A slot's rank among its source's slots names the word it takes: a source's documents, shuffled by a salted
+hash, lie end to end on a tape, and slots take its words in turn, from the start again after the last. Counts of slots are
+exact at any size, and within a few words of the targets. What a document gives is what the taken words cover of it.
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; documents of size 0 are kept
 with taken 0; repeated rows are separate documents, in an order fixed by doc_id and text hash; an empty table gives no rows.
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ._common import BLANKS, WORD, bytes_of, cut
 
-SLOTS, REPEATS, MAX_SOURCES, CHUNKS = 1 << 18, 3, 100_000, 1 << 14
-GOLDEN = (math.sqrt(5) - 1) / 2
+REPEATS, MAX_SOURCES, CHUNKS = 3, 100_000, 1 << 14
+#: The schedule's points are whole numbers below CIRCLE; GOLDEN is half a step of (sqrt(5) - 1) / 2 of it.
+CIRCLE = 1 << 128
+GOLDEN = (math.isqrt(5 << 254) - (1 << 127)) >> 1
 WEIGHTS = (1, 2, 3)
 _WORD = re.compile(WORD)
 
@@ -89,16 +91,35 @@ class Mix:
     words: int  # what the schedule takes from the source's tape
 
 
-def schedule(target: list[float], total: int, slots: int = SLOTS) -> tuple[np.ndarray, int]:
-    """The source of every slot, and the block size in words; total / slots words a block, 1 at least."""
-    block = max(1, -(-total // slots))
-    n = -(-total // block)
-    ends = np.cumsum(np.array(target) / max(sum(target), 1e-300))
-    point = ((np.arange(n) + 0.5) * GOLDEN) % 1.0
-    return np.searchsorted(ends[:-1], point, side="right"), block
+def _floor_sum(n: int, m: int, a: int, b: int) -> int:
+    """The sum of floor((a i + b) / m) over i < n, by Euclid's steps."""
+    out = 0
+    while True:
+        out += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        n, b = divmod(a * n + b, m)
+        if not n:
+            return out
+        m, a = a, m
 
 
-def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> list[Mix]:
+def schedule(target: list[float], total: int) -> list[int]:
+    """How many of the slots, a slot a word, go to each source.
+
+    Points and shares are whole multiples of 1 / CIRCLE, and the points below a share are counted without going through them.
+    """
+    whole = math.fsum(target)
+    ends, at = [], 0
+    for t in target:
+        at += int(t / whole * CIRCLE) if whole else 0
+        ends.append(min(at, CIRCLE))
+    ends[-1:] = [CIRCLE] * bool(ends)
+    every = _floor_sum(total, CIRCLE, 2 * GOLDEN, GOLDEN)
+    below = [total + every - _floor_sum(total, CIRCLE, 2 * GOLDEN, GOLDEN + CIRCLE - e) for e in ends]
+    return [y - x for x, y in zip([0, *below], below, strict=False)]
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[Mix]:
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -109,9 +130,7 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SL
     total = sum(size)
     if not total:
         return [Mix(r["source"], 0, 0.0, 0) for r in rows]
-    to, block = schedule(goal, total, slots)
-    count = np.bincount(to, minlength=len(rows))
-    return [Mix(r["source"], s, g, min(int(c) * block, REPEATS * s)) for r, s, g, c in zip(rows, size, goal, count, strict=True)]
+    return [Mix(r["source"], s, g, min(n, REPEATS * s)) for r, s, g, n in zip(rows, size, goal, schedule(goal, total), strict=True)]
 
 
 def tape(sized: DataFrame) -> DataFrame:
@@ -126,10 +145,10 @@ def tape(sized: DataFrame) -> DataFrame:
     return joined.withColumn("begin", F.col("begin") + F.col("_before")).drop("_source", "_chunk", "_before", "chunk")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(doc_id, source, key, size, source_size, target, taken) for every row of docs (doc_id, text, source)."""
     sized = cut(sizes(docs))
-    mixes = plan(sized, weights, slots)
+    mixes = plan(sized, weights)
     spark = docs.sparkSession
     rows = [(m.source, m.size, m.target, m.words) for m in mixes]
     known = spark.createDataFrame(rows, "_source string, source_size long, target double, words long")
@@ -141,14 +160,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOT
     return at.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: docs' columns, a row for each time a document is taken; one that is cut gives its first words.
 
     Rows that agree in doc_id, text and source share what they take evenly, to a word. _key, _source, _size and _taken are
     names of the operator's own: docs' columns of those names are dropped.
     """
     docs = docs.drop("_key", "_source", "_size", "_taken")
-    each = mix(docs, weights, slots).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
+    each = mix(docs, weights).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
     key = F.xxhash64(F.lit("mix"), "doc_id", "text")
     rows = docs.join(each, (key == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))).where("_taken > 0").drop("_key", "_source")
     names = docs.columns

@@ -229,6 +229,26 @@ def test_targets_stop_at_three_times_the_size():
     assert mixing.targets([], []) == [] and mixing.targets([0], [1]) == [0.0]
 
 
+def test_small_sources_beside_a_huge_one(spark):
+    small = {f"s{i:03}": (1, 3, 40, 100, 1_000, 3_000, 10_000, 30_000)[i % 8] for i in range(200)}
+    for huge in (80_000, 80_000_000, 5_000_000_000):
+        sized = spark.createDataFrame([*small.items(), ("huge", huge)], "source string, size long")
+        found = mixing.plan(sized)
+        assert sum(m.words for m in found) <= huge + sum(small.values())
+        for m in found:
+            assert abs(m.words - m.target) <= 4 and (m.words > 0 or m.target < 2), m
+
+
+def test_schedule_equals_slots_one_by_one():
+    rng = random.Random(6)
+    for n in (1, 2, 17, 5_000):
+        share = [rng.random() * rng.choice([0, 1, 0.01]) for _ in range(20)]
+        ends = np.cumsum(np.array(share) / sum(share))
+        point = ((np.arange(n) + 0.5) * (5**0.5 - 1) / 2) % 1.0
+        to = np.searchsorted(ends[:-1], point, side="right")
+        assert mixing.schedule(share, n) == np.bincount(to, minlength=20).tolist()
+
+
 def test_mixed_texts_match_what_is_taken(spark, odd):
     plan = {r["key"]: 0 for r in mixing.mix(odd).collect()}
     for r in mixing.mix(odd).collect():

@@ -288,7 +288,8 @@ def q_weld_vertices(spark, d):
 
 
 def q_far_fraction(spark, d):
-    out = mesh.far_fraction(cut(_vertices_mm(spark, d).distinct()), point_view(spark, d).where("level = 1 and seg = 0"), 100)
+    """The field holds every arrival, previews too, so a vertex is far if no point of any of them is near."""
+    out = mesh.far_fraction(cut(_vertices_mm(spark, d).distinct()), point_view(spark, d), 100)
     return out.select("vertices", "far", F.round("fraction", 6).alias("fraction"))
 
 

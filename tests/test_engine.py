@@ -6,6 +6,7 @@ from pointweave.config import NORMAL_ONE, Config
 from pointweave.operators import bins as binning
 from pointweave.operators import field as fields
 from pointweave.operators import incremental, mesh, normals, surface
+from pointweave.plans import queries
 from pointweave.plans.lineage import cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
 from pointweave.plans.points import point_view, stride
@@ -184,3 +185,13 @@ def test_weld_counts_equal_positions(spark):
     assert {tuple(r) for r in w.collect()} == {(1, 2, 3, 9, 9, 9, 2), (4, 5, 6, 1, 1, 1, 1)}
     assert sorted(r["idx"] for r in mesh.numbered(w).collect()) == [0, 1]
     assert w.agg(F.sum("uses")).first()[0] == 3
+
+
+def test_far_fraction_query_looks_at_points_of_every_segment(spark):
+    d = "/root/testdata/sf0.001"
+    v = queries._vertices_mm(spark, d).distinct().toPandas().to_numpy()
+    p = point_view(spark, d).select("x", "y", "z").distinct().toPandas().to_numpy()
+    near = np.array([(((p - q) ** 2).sum(axis=1) <= 100 * 100).any() for q in v])
+    got = queries.q_far_fraction(spark, d).first()
+    assert (got["vertices"], got["far"]) == (len(v), int((~near).sum()))
+    assert got["fraction"] == round((~near).mean(), 6)

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and novelty measured with a dictionary-primed zstandard compressor.
 
 Base spans are the leftmost non-overlapping matches of each pattern that pass its length. The method then looks at every
-token of 16 or more of the characters A-Za-z0-9+/_.=- that stands, on its line, within CONTEXT characters after a sensitive
-word and overlaps no base span; of NAME=value, it looks at the value, which may be as short as 8. It compresses the surrounding text with and without the token, with a dictionary of
+token of 16 or more of the characters A-Za-z0-9+/_.=- that has a sensitive word within AROUND characters before or after it,
+on any line, and overlaps no base span. NAME=value is split at its signs and sensitive words; a value that a sensitive name is
+given by : or = may be as short as 8. The body of a PEM private key is one token. It compresses the surrounding text with and without the token, with a dictionary of
 identifiers and code; a token that adds at least NOVELTY bytes for each of its characters is reported as kind `novel`.
 
 Defined cases: null text counts as empty (no spans); equal rows give equal results; columns other than text are kept.
@@ -11,6 +12,7 @@ One pass, no shuffle; memory is a few times one batch of texts.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"api")
 #: Words that make their surroundings sensitive, beside those of the assign pattern.
-SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private_key", "privatekey", "credential", "bearer", "authorization", "auth_", "client_id", "session_id", "cookie", "signature")
+SENSITIVE = ("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "accesskey", "private_key", "privatekey", "credential", "bearer", "authorization", "auth_", "private key", "client_id", "session_id", "cookie", "signature")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.IGNORECASE | re.ASCII)
 _SENSITIVE_BYTES = tuple(w.encode() for w in SENSITIVE)
 #: Least characters of a token, and of a value after a name and a sign.
@@ -35,6 +37,12 @@ LENGTH, SHORT = 16, 8
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 #: A sign between a name and a value; signs at the end are padding.
 _SIGN = re.compile(r"=+(?=[^=])")
+#: A name before a sign is not a value if it is letters of one case.
+_NAME = re.compile(r"(?:[A-Z_.-]+|[a-z_.-]+)[0-9]*=+")
+#: A value that a sensitive name is given, perhaps on the next line.
+_DIRECT = re.compile(rf"""(?:{"|".join(SENSITIVE)})[A-Za-z0-9_.-]{{0,{CONTEXT}}}["']?\s{{0,{CONTEXT}}}[:=]>?\s{{0,{CONTEXT}}}["']?([A-Za-z0-9+/_.-][A-Za-z0-9+/_.=-]{{{SHORT - 1},}})""", re.IGNORECASE | re.ASCII)
+_PEM = re.compile(r"-----(?:(BEGIN) [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|END )")
+_KEY_LINES = re.compile(r"(?:\s{0,80}[A-Za-z0-9+/=]{16,})*")
 #: What code and configuration around a secret is made of; the compressor knows it before it sees a text.
 DICTIONARY = """
 import os sys json config settings environment def class return function const public private static void string int self
@@ -68,15 +76,41 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]
     return sorted(found)
 
 
+def _key_blocks(text: str) -> list[tuple[int, int]]:
+    """The bodies of PEM private keys: up to the next header or footer, or the lines of a key's characters if no footer follows."""
+    marks = list(_PEM.finditer(text)) if "PRIVATE KEY" in text else []
+    out = []
+    for m, after in zip(marks, [*marks[1:], None], strict=False):
+        if m[1]:
+            closed = after is not None and not after[1]
+            body = text[m.end() : after.start()] if closed else _KEY_LINES.match(text, m.end())[0]
+            left = len(body) - len(body.lstrip())
+            out.append((m.end() + left, m.end() + len(body.rstrip()) if body.strip() else m.end() + left))
+    return out
+
+
 def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]], compressor: zstandard.ZstdCompressor, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
     if not any(w in low for w in _SENSITIVE_BYTES):
         return []
-    marks = [(m.start(), m.end()) for m in _SENSITIVE.finditer(text)]
-    out, taken = [], [(s, e) for s, _, e in base]
+    # where a token has a sensitive word among the AROUND characters before or after it
+    regions: list[list[int]] = []
+    for m in _SENSITIVE.finditer(text):
+        if regions and m.end() - AROUND <= regions[-1][1]:
+            regions[-1][1] = m.start() + AROUND
+        else:
+            regions.append([m.end() - AROUND, m.start() + AROUND])
+    out, begins, ends = [], [], []  # begins, ends: what is taken by base spans and key blocks, ascending
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            begins.append(s)
+            ends.append(e)
 
     def test(start: int, end: int) -> bool:
         """Whether text[start:end] is novel; if so, it is reported."""
-        if any(s < end and start < e for s, e in taken):
+        i = bisect.bisect_right(ends, start)
+        if i < len(ends) and begins[i] < end:
             return False
         before = text[max(0, start - AROUND) : start].encode()
         after = text[end : end + AROUND].encode()
@@ -87,22 +121,31 @@ def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]], compres
         out.append((start, 3, end))
         return True
 
-    done = -1
-    for start, end in marks:
-        stop = text.find("\n", end)
-        stop = min(end + CONTEXT, len(text) if stop < 0 else stop)
-        at = max(end, done)
-        while at <= stop and (m := _RUN.search(text, at)) and m.start() <= stop:
-            at = done = m.end()
-            # NAME=value: the value; if it is not novel as a whole, what stands between its own signs
-            cuts = [m.start(), *(m.start() + c.end() for c in _SIGN.finditer(m[0])), m.end()]
-            parts = list(zip(cuts, cuts[1:], strict=False))
-            least = SHORT if len(parts) > 1 else LENGTH
-            if len(parts) > 2 and m.end() - cuts[1] >= least and test(cuts[1], m.end()):
-                parts = parts[:1]
-            for i, (a, z) in enumerate(parts):
-                if z - a >= (least if i else LENGTH):
-                    test(a, z)
+    for start, end in _key_blocks(text):
+        if end - start >= LENGTH and test(start, end):
+            i = bisect.bisect_right(ends, start)
+            begins.insert(i, start)
+            ends.insert(i, end)
+    direct = {m.start(1) for m in _DIRECT.finditer(text)}
+    r = 0
+    for m in _RUN.finditer(text):
+        while r < len(regions) and regions[r][1] < m.start():
+            r += 1
+        if r == len(regions):
+            break
+        if m.end() < regions[r][0]:
+            continue
+        # NAME=value: the value; if it is not novel as a whole, what stands between its own signs and sensitive words
+        signs = [m.start() + c.end() for c in _SIGN.finditer(m[0])]
+        least = SHORT if signs and signs[0] in direct else LENGTH
+        last = m.end()
+        if len(signs) > 1 and last - signs[0] >= least and test(signs[0], last):
+            last, signs = signs[0], []
+        words = [x for w in _SENSITIVE.finditer(m[0]) for x in (m.start() + w.start(), m.start() + w.end()) if x < last]
+        cuts = sorted({m.start(), *signs, *words, last})
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            if z - a >= (SHORT if a in direct else LENGTH) and not (z in signs and _NAME.fullmatch(text, a, z)):
+                test(a, z)
     return out
 
 

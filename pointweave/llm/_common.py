@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+#: Bytes that are looked at together.
+SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +113,30 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     blank = np.zeros(256, bool)
     blank[list(BLANKS)] = True
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    a = 0
+    while a < len(data):
+        z = _stop(data, offsets, blank, a + SLICE) if a + SLICE < len(data) else len(data)
+        edges = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, z, side="right")] - a
+        found.append(tuple(x + s for x, s in zip(_words_in(data[a:z], edges, blank), (U64(0), a, a), strict=True)))
+        a = z
+    hashes, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, begin, end, np.searchsorted(begin, offsets)
+
+
+def _stop(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, z: int) -> int:
+    """The first place from z on where no word is cut: a blank or a document's end."""
+    limit = int(offsets[np.searchsorted(offsets, z)])
+    while z < limit:
+        here = np.flatnonzero(blank[data[z : min(z + 4096, limit)]])
+        if len(here):
+            return z + int(here[0])
+        z = min(z + 4096, limit)
+    return limit
+
+
+def _words_in(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of the words of data; no word reaches over one of offsets."""
     inside = ~blank[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -123,8 +149,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-        hashes = mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64))
-    return hashes, begin, end, np.searchsorted(begin, offsets)
+        return mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64)), begin, end
 
 
 def chunks_of(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

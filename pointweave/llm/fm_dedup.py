@@ -34,19 +34,19 @@ class Words:
         self.data = data
         self.hashes, self.begin, self.end, self.offsets = words_of(data, offsets)
         self.n = len(self.hashes)
-        self._total = None
 
     def gram_hashes(self, a: int, z: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix64(sum((self.hashes[a + i : z + i] * _MIX[i] for i in range(GRAM)), np.zeros(z - a, U64)))
 
     def span_hash(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        power, inverse = _powers(self.n)
+        size = y - x
+        out = mix64(size)
         with np.errstate(over="ignore"):
-            if self._total is None:
-                self._total = np.zeros(self.n + 1, U64)
-                np.cumsum(self.hashes * power[: self.n], out=self._total[1:])
-            return mix64((self._total[y] - self._total[x]) * inverse[np.minimum(x, self.n - 1)] + (y - x).astype(U64))
+            for i in range(int(size.max(initial=0))):
+                on = np.flatnonzero(size > i)
+                out[on] = mix64(out[on] * U64(3) + self.hashes[x[on] + i])
+        return out
 
 
 class FMDedup(repeats.Method):

@@ -3,16 +3,18 @@
 A window is WINDOW consecutive symbols of one document. Of the GRAM-symbol strings in a window, the one with the least hash
 is its anchor, so equal windows have equal anchors at equal places, and about one symbol in SPAN / 2 starts an anchor.
 
-1. Documents are dealt into packs of about PACK bytes, kept as a table bucketed by pack, which later steps read without
-   moving texts again.
-2. Each pack sends its distinct anchor hashes to shards by hash; a shard answers, one bit a hash, which of them other packs
-   have too, and which of them very many packs (HOT) have.
+1. Documents are put into packs of up to PACK bytes where they are read, and kept as a table bucketed by part (FILE packs in
+   one file): texts are never shuffled, and later steps join answers to the table without moving it.
+2. Each pack sends its distinct anchors' names (NAME bits beside the shard, as packed differences) to shards by hash; a
+   shard answers, one bit a name, which of them other packs have too, and which of them very many packs (HOT) have.
 3. Packs send the surroundings of shared anchors, each distinct one once, for its earliest occurrence, to the shard of the
    anchor: no more of them than its own windows take up. Surroundings of hot anchors go window by window, dealt by the window's own hash, so that a passage in a third of all documents stays in no one shard.
    A shard decides for each window whether an equal one comes earlier; how it does so is the operator's own method.
 4. Packs apply the answers to all occurrences and return rows per document.
 
-Nothing is sampled or capped: every window has an anchor, and hash collisions only add candidates that step 3 rejects.
+Nothing is sampled or capped: every window has an anchor, and hash collisions only add candidates that step 3 rejects. Pack
+size and number of shards follow the bytes of text (counted first); results do not depend on them. The table is dropped
+once the result is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, bytes_of, cut, mix64, scratch, shuffle_partitions
+from ._common import U64, bytes_of, cut, mix64, shuffle_partitions
 
-PACK, SLICE, HOT, SHARD = 1 << 20, 1 << 20, 256, 16 << 20
-START = 40  # bits of a start within a document
+PACK, LEAST_PACK, SLICE, HOT, SHARD = 8 << 20, 1 << 20, 1 << 20, 256, 16 << 20
+FILE = 2  # bits of the number of packs in a file
+BUCKETS = 50_000  # of the table, at most
+NAME = 28  # bits of an anchor's name within its shard
+START = 32  # bits of a start within a document, whose text is shorter than 2 ** 31
 LAST = (1 << 63) - 1  # the place of null ids in the order of documents
 
 
@@ -56,17 +61,17 @@ class Pack:
     offsets: np.ndarray
 
 
-def packs(docs: DataFrame, size: int = PACK) -> DataFrame:
-    """(pack, ids, null, sizes, data) rows of about `size` bytes of documents (doc_id, text); a longer text is a pack alone."""
+def packs(docs: DataFrame, size: int) -> DataFrame:
+    """(part, pack, ids, null, sizes, data) rows of about `size` bytes of documents (doc_id, text); a longer text is a pack alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held, held_size = TaskContext.get().partitionId() << 33, [], 0
-        names = ["pack", "ids", "null", "sizes", "data"]
+        names = ["part", "pack", "ids", "null", "sizes", "data"]
 
         def out() -> pa.RecordBatch:
             ids = np.concatenate([h[0] for h in held])
             null, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            cols = [pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, null, sizes.astype(np.int64))), pa.array([b"".join(h[3] for h in held)], pa.binary())]
+            cols = [pa.array([n >> FILE], pa.int64()), pa.array([n], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, null, sizes.astype(np.int64))), pa.array([b"".join(h[3] for h in held)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
@@ -85,21 +90,21 @@ def packs(docs: DataFrame, size: int = PACK) -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "pack long, ids binary, null binary, sizes binary, data binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, pack long, ids binary, null binary, sizes binary, data binary")
 
 
 def _packs_in(b: pa.RecordBatch) -> Iterator[tuple[int, Pack]]:
     for i in range(b.num_rows):
-        pack, ids, null, sizes, data = (b.column(j)[i] for j in range(5))
+        pack, ids, null, sizes, data = (b.column(j)[i] for j in range(1, 6))
         as_array = lambda x, t: np.frombuffer(x.as_buffer(), t)
         yield pack.as_py(), Pack(as_array(ids, np.int64), as_array(null, np.uint8), as_array(data, np.uint8), np.concatenate([[0], np.cumsum(as_array(sizes, np.int64))]))
 
 
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """df as a table bucketed by pack, in the shared folder."""
+def bucketed(df: DataFrame, buckets: int) -> str:
+    """Writes df as a managed table bucketed by part, without a shuffle, and returns its name."""
     name = f"packs_{uuid.uuid4().hex}"
-    df.repartition(buckets, "pack").write.bucketBy(buckets, "pack").option("path", f"{scratch(df)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return df.sparkSession.table(name)
+    df.write.bucketBy(buckets, "part").option("compression", "zstd").saveAsTable(name)
+    return name
 
 
 def _slide(x: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
@@ -161,16 +166,31 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Runs of ascending hashes by shard."""
-    if not len(h):
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The runs of ascending shard numbers."""
+    if not len(shard):
         return
-    shard = _shard(h, shards)
     heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-    for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(h)], strict=True):
+    for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(shard)], strict=True):
         yield int(shard[x]), slice(x, y)
 
 
+def _names(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash and NAME bits of it, in one number; equal names of different hashes only add candidates."""
+    return _shard(h, shards) << NAME | (h & U64((1 << NAME) - 1)).astype(np.int64)
+
+
+def _packed(names: np.ndarray) -> bytes:
+    """Ascending names of one shard, as the byte planes of their differences."""
+    step = np.diff(names & ((1 << NAME) - 1), prepend=0).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(step.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.int64).astype(np.uint32)
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
@@ -188,27 +208,29 @@ class Spots:
     of: np.ndarray  # by occurrence: index into hash and first
 
 
+def _log2(x: np.ndarray) -> np.ndarray:
+    """The place of the highest bit; x > 0."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1
+
+
 def spots(a: Anchors, shared: np.ndarray, hot: np.ndarray, offsets: np.ndarray, span_hash: Callable[[np.ndarray, np.ndarray], np.ndarray], ids: np.ndarray, shape: Shape) -> Spots:
     """shared and hot by anchor; span_hash(x, y): hashes of the symbols x..y-1."""
     i = np.flatnonzero(shared)
     left = np.minimum(a.at[i] - offsets[a.doc[i]], shape.span - 1)
     right = np.minimum(offsets[a.doc[i] + 1] - a.at[i], shape.window)
-    own, heat = a.own[i], hot[i]
-    back = np.arange(shape.span)
-    fits = (back <= left[:, None]) & (shape.window - back <= right[:, None]) & ((own[:, None] >> back.astype(np.uint32)) & 1).astype(bool)
-    own = (fits << back).sum(axis=1).astype(np.uint32)
-    # of its surroundings a place needs its own windows only
+    # windows that stay in the document begin window - right .. left symbols before the anchor
+    fit = (np.left_shift(2, left) - 1) & -np.left_shift(1, np.maximum(shape.window - right, 0))
+    own = (a.own[i].astype(np.int64) & fit).astype(np.uint32)
     some = own > 0
-    i, fits, own, heat = i[some], fits[some], own[some], heat[some]
-    left = np.where(fits, back, 0).max(axis=1) if len(i) else left[:0]
-    right = shape.window - np.argmax(fits, axis=1) if len(i) else right[:0]
+    i, own, heat = i[some], own[some], hot[i][some]
     if heat.any():  # one entry a window
-        x, y = np.nonzero(fits & heat[:, None])
-        cold = ~heat
-        i = np.concatenate([i[cold], i[x]])
-        own = np.concatenate([own[cold], (np.uint32(1) << y.astype(np.uint32))])
-        left, right = np.concatenate([left[cold], y]), np.concatenate([right[cold], shape.window - y])
-        heat = np.concatenate([np.zeros(int(cold.sum()), bool), np.ones(len(x), bool)])
+        x, y = np.nonzero((own[heat, None] >> np.arange(shape.span, dtype=np.uint32)) & 1)
+        i = np.concatenate([i[~heat], i[heat][x]])
+        own = np.concatenate([own[~heat], np.uint32(1) << y.astype(np.uint32)])
+        heat = np.arange(len(i)) >= (~heat).sum()
+    # of its surroundings a place needs its own windows only
+    left = _log2(own)
+    right = shape.window - _log2(own & (~own + np.uint32(1)))
     at = a.at[i]
     text = mix64(span_hash(at - left, at + right) + (left.astype(U64) << U64(8)) + own.astype(U64) * U64(0x9E3779B97F4A7C15))
     deal = np.where(heat, text, a.hash[i])
@@ -251,11 +273,11 @@ def _squeezed(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
-def _flags(b: pa.RecordBatch, i: int, column: int, uniques: np.ndarray, shards: int, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """shared and hot for a pack's distinct anchor hashes."""
+def _flags(flags: list[dict] | None, pack: int, uniques: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """shared and hot for a pack's distinct anchor names."""
     shared, hot = local.copy(), np.zeros(len(uniques), bool)
-    answers = {r["shard"]: r for r in (b.column(column)[i].as_py() or [])}
-    for shard, where in _by_shard(uniques, shards):
+    answers = {r["shard"]: r for r in flags or [] if r["pack"] == pack}
+    for shard, where in _runs(uniques >> NAME):
         if r := answers.get(shard):
             n = where.stop - where.start
             shared[where] |= np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=n).astype(bool)
@@ -263,18 +285,24 @@ def _flags(b: pa.RecordBatch, i: int, column: int, uniques: np.ndarray, shards:
     return shared, hot
 
 
-def find(docs: DataFrame, method: Method, pack_size: int = PACK, hot_packs: int = HOT) -> DataFrame:
+def find(docs: DataFrame, method: Method, pack_size: int | None = None, hot_packs: int = HOT) -> DataFrame:
     """Runs the plan over docs (doc_id, text) and returns method.rows for every document."""
     spark, shape = docs.sparkSession, method.shape
-    bytes_in = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if bytes_in >= 1 << 60:  # the planner doesn't know it
-        bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(shuffle_partitions(spark), int(bytes_in) * 2 // SHARD)
-    table = bucketed(packs(docs, pack_size), shards)
-
+    bytes_in = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(shuffle_partitions(spark), bytes_in // SHARD)
+    # a small input is dealt out to all tasks
+    pack_size = pack_size or min(PACK, max(LEAST_PACK, bytes_in // (shuffle_partitions(spark) << FILE)))
+    name = bucketed(packs(docs, pack_size), min(shards, BUCKETS))
+    try:
+        return cut(_found(spark.table(name), method, shape, shards, hot_packs))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _found(table: DataFrame, method: Method, shape: Shape, shards: int, hot_packs: int) -> DataFrame:
     def local(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, each anchor's place among them, and which of them repeat within the pack."""
-        uniques, of, count = np.unique(a.hash, return_inverse=True, return_counts=True)
+        """Distinct names, each anchor's place among them, and which of them repeat within the pack."""
+        uniques, of, count = np.unique(_names(a.hash, shards), return_inverse=True, return_counts=True)
         if shape.by_start:
             return uniques, of, count > 1
         low, high = np.full(len(uniques), LAST), np.full(len(uniques), -1)
@@ -286,18 +314,18 @@ def find(docs: DataFrame, method: Method, pack_size: int = PACK, hot_packs: int
         for b in batches:
             for pack, p in _packs_in(b):
                 s = method.symbols(p)
-                uniques = np.unique(anchors(s.gram_hashes, s.n, s.offsets, shape).hash)
-                rows = [(shard, pack, (uniques[where] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()) for shard, where in _by_shard(uniques, shards)]
-                yield _batch(rows, ["shard", "pack", "hashes"], [pa.int64(), pa.int64(), pa.binary()])
+                uniques = np.unique(_names(anchors(s.gram_hashes, s.n, s.offsets, shape).hash, shards))
+                rows = [(shard, pack, _packed(uniques[where])) for shard, where in _runs(uniques >> NAME)]
+                yield _batch(rows, ["shard", "pack", "names"], [pa.int64(), pa.int64(), pa.binary()])
 
     def answer(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("hashes")]
+        parts = [_unpacked(x) for x in t.column("names").to_pylist()]
         every = np.concatenate(parts)
-        sorted_ = np.sort(every)
-        heads = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-        count = np.diff(heads, append=len(sorted_))
-        many, very = sorted_[heads[count > 1]], sorted_[heads[count >= hot_packs]]
+        every.sort()
+        heads = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        count = np.diff(heads, append=len(every))
+        many, very = every[heads[count > 1]], every[heads[count >= hot_packs]]
         rows = []
         for shard, pack, h in zip(t.column("shard").to_pylist(), t.column("pack").to_pylist(), parts, strict=True):
             at = np.searchsorted(many, h)
@@ -305,27 +333,27 @@ def find(docs: DataFrame, method: Method, pack_size: int = PACK, hot_packs: int
             if shared.any():
                 at = np.searchsorted(very, h)
                 hot = very[np.minimum(at, len(very) - 1)] == h if len(very) else np.zeros(len(h), bool)
-                rows.append((pack, shard, np.packbits(shared).tobytes(), np.packbits(hot).tobytes()))
-        return pa.Table.from_batches([_batch(rows, ["pack", "shard", "shared", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
+                rows.append((pack >> FILE, pack, shard, np.packbits(shared).tobytes(), np.packbits(hot).tobytes()))
+        return pa.Table.from_batches([_batch(rows, ["part", "pack", "shard", "shared", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
 
-    asked = table.mapInArrow(ask, "shard long, pack long, hashes binary")
-    answered = cut(asked.groupBy("shard").applyInArrow(answer, "pack long, shard long, shared binary, hot binary"))
-    flags = answered.groupBy("pack").agg(F.collect_list(F.struct("shard", "shared", "hot")).alias("flags"))
-    flagged = table.join(flags, "pack", "left")
+    asked = table.mapInArrow(ask, "shard long, pack long, names binary")
+    answered = cut(asked.groupBy("shard").applyInArrow(answer, "part long, pack long, shard long, shared binary, hot binary"))
+    flags = answered.groupBy("part").agg(F.collect_list(F.struct("pack", "shard", "shared", "hot")).alias("flags"))
+    flagged = table.join(flags, "part", "left")
 
     def places(b: pa.RecordBatch) -> Iterator[tuple]:
         for i, (pack, p) in enumerate(_packs_in(b)):
             s = method.symbols(p)
             a = anchors(s.gram_hashes, s.n, s.offsets, shape)
             uniques, of, own = local(a)
-            shared, hot = _flags(b, i, 5, uniques, shards, own)
+            shared, hot = _flags(b.column(6)[i].as_py(), pack, uniques, own)
             yield i, pack, p, s, a, spots(a, shared[of], hot[of], s.offsets, s.span_hash, p.ids, shape)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, pack, p, s, a, t in places(b):
                 rows = []
-                for shard, where in _by_shard(t.hash, shards):
+                for shard, where in _runs(_shard(t.hash, shards)):
                     k = t.first[where]
                     at = a.at[t.anchor[k]]
                     doc = a.doc[t.anchor[k]]
@@ -350,20 +378,20 @@ def find(docs: DataFrame, method: Method, pack_size: int = PACK, hot_packs: int
         blobs = [unpack.decompress(x) for x in t.column("blob").to_pylist()]
         got = method.solve(blobs, left.astype(np.int64), right.astype(np.int64), own, rank).astype(np.uint32)
         cuts = np.cumsum([0, *n])
-        rows = [(pack, shard, _squeezed(got[x:y].tobytes())) for pack, shard, x, y in zip(t.column("pack").to_pylist(), t.column("shard").to_pylist(), cuts[:-1], cuts[1:], strict=True) if got[x:y].any()]
-        return pa.Table.from_batches([_batch(rows, ["pack", "shard", "bits"], [pa.int64(), pa.int64(), pa.binary()])])
+        rows = [(pack >> FILE, pack, shard, _squeezed(got[x:y].tobytes())) for pack, shard, x, y in zip(t.column("pack").to_pylist(), t.column("shard").to_pylist(), cuts[:-1], cuts[1:], strict=True) if got[x:y].any()]
+        return pa.Table.from_batches([_batch(rows, ["part", "pack", "shard", "bits"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])])
 
     told = flagged.mapInArrow(tell, "shard long, pack long, n long, meta binary, blob binary")
-    decided = cut(told.groupBy("shard").applyInArrow(decide, "pack long, shard long, bits binary"))
-    decisions = decided.groupBy("pack").agg(F.collect_list(F.struct("shard", "bits")).alias("bits"))
+    decided = cut(told.groupBy("shard").applyInArrow(decide, "part long, pack long, shard long, bits binary"))
+    decisions = decided.groupBy("part").agg(F.collect_list(F.struct("pack", "shard", "bits")).alias("bits"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for i, _, p, s, a, t in places(b):
+            for i, pack, p, s, a, t in places(b):
                 bits = np.zeros(len(t.hash), np.uint32)
-                answers = {r["shard"]: r["bits"] for r in (b.column(6)[i].as_py() or [])}
-                for shard, where in _by_shard(t.hash, shards):
+                answers = {r["shard"]: r["bits"] for r in b.column(7)[i].as_py() or [] if r["pack"] == pack}
+                for shard, where in _runs(_shard(t.hash, shards)):
                     if shard in answers:
                         bits[where] = np.frombuffer(unpack.decompress(answers[shard]), np.uint32)
                 repeated = np.zeros(s.n, bool)
@@ -380,7 +408,7 @@ def find(docs: DataFrame, method: Method, pack_size: int = PACK, hot_packs: int
                         repeated[at[(mine >> np.uint32(back)) & 1 == 1] - back] = True
                 yield method.rows(p, s, repeated)
 
-    return flagged.join(decisions, "pack", "left").mapInArrow(apply, method.schema)
+    return flagged.join(decisions, "part", "left").mapInArrow(apply, method.schema)
 
 
 def covered(repeated: np.ndarray, window: int) -> np.ndarray:

@@ -19,18 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from ._common import U64, _BYTE, _powers, mix64
+from ._common import U64, mix64
 from .suffixes import deep_shallow, letters
 
 WINDOW, GRAM, CHUNK = 50, 24, 200_000
+WIDEST = 2 * WINDOW - GRAM  # bytes of a place's surroundings, at most
 
 
 class Bytes:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.n, self.data, self.offsets = len(data), data, offsets
-        padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
-        self.words = np.ndarray(self.n + GRAM - 7, "<u8", buffer=padded.data, strides=(1,))
-        self._total = None
+        padded = np.concatenate([data, np.zeros(WIDEST + 8, np.uint8)])
+        self.words = np.ndarray(self.n + WIDEST + 1, "<u8", buffer=padded.data, strides=(1,))
 
     def gram_hashes(self, a: int, z: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -42,12 +42,15 @@ class Bytes:
             return mix64(x + U64(0x165667B19E3779F9))  # not 0 for zero bytes
 
     def span_hash(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        power, inverse = _powers(self.n)
+        """Eight bytes at a time; what lies behind the end is masked."""
+        size = y - x
+        out = mix64(size)
         with np.errstate(over="ignore"):
-            if self._total is None:
-                self._total = np.zeros(self.n + 1, U64)
-                np.cumsum(_BYTE[self.data] * power[: self.n], out=self._total[1:])
-            return mix64((self._total[y] - self._total[x]) * inverse[np.minimum(x, self.n - 1)] + (y - x).astype(U64))
+            for i in range(0, WIDEST, 8):
+                left = np.clip(size - i, 0, 8)
+                word = np.where(left > 0, self.words[np.minimum(x + i, self.n)] << ((8 - left) * 8).astype(U64) % U64(64), U64(0))
+                out = mix64(out * U64(3) + word)
+        return out
 
 
 def ragged(begin: np.ndarray, end: np.ndarray) -> np.ndarray:

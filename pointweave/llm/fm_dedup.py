@@ -49,6 +49,22 @@ class Words:
         return out
 
 
+def distinct(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the distinct windows, the window's number at each of begin); hashes find equal ones, symbols decide."""
+    if not len(begin):
+        return begin, begin
+    name = np.zeros(len(begin), U64)
+    with np.errstate(over="ignore"):
+        for i in range(WINDOW):
+            name = mix64(name * U64(3) + symbols[begin + i].astype(U64))
+    _, first, same = np.unique(name, return_index=True, return_inverse=True)
+    differ = np.zeros(len(begin), bool)
+    for i in range(WINDOW):
+        differ |= symbols[begin + i] != symbols[begin[first[same]] + i]
+    same[differ] = len(first) + np.arange(int(differ.sum()))
+    return np.concatenate([begin[first], begin[differ]]), same
+
+
 class FMDedup(repeats.Method):
     shape = repeats.Shape(WINDOW, GRAM, by_start=True)
 
@@ -111,35 +127,39 @@ class FMDedup(repeats.Method):
         return out | (earlier[kind] & own)
 
     def _stream(self, index: FMIndex, symbols: np.ndarray, offsets: np.ndarray, left: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, back, low, high) of the windows with at least two occurrences; a text's windows are tried from its start on."""
+        """(text, back, low, high) of the windows with at least two occurrences; a text's windows are tried from its start on.
+
+        Equal windows are searched once.
+        """
         span = self.shape.span
         back = np.arange(span - 1, -1, -1)
         wanted = ((own[:, None] >> back.astype(np.uint32)) & 1).astype(bool)  # by column: starts ascend
+        text, column = np.nonzero(wanted)
+        begin, same = distinct(symbols, offsets[text] + left[text] - back[column])
+        kind = np.full(wanted.shape, -1, np.int64)
+        kind[text, column] = same
+        low, high, read = np.zeros(len(begin), np.int64), np.full(len(begin), index.total), np.full(len(begin), WINDOW)
+        done = np.zeros(len(begin), bool)
         found: list[tuple[np.ndarray, ...]] = []
         which = np.arange(len(left))
-        while len(which):
-            has = wanted[which].any(axis=1)
-            which = which[has]
-            if not len(which):
-                break
+        while len(which := which[wanted[which].any(axis=1)]):
             column = wanted[which].argmax(axis=1)
-            begin = offsets[which] + left[which] - back[column]
-            low, high, read = np.zeros(len(which), np.int64), np.full(len(which), index.total), np.full(len(which), WINDOW)
-            on = np.arange(len(which))
+            of = kind[which, column]
+            on = np.unique(of[~done[of]])
+            done[on] = True
             for step in range(WINDOW - 1, -1, -1):
+                if not len(on):
+                    break
                 low[on], high[on] = index.extend(symbols[begin[on] + step], low[on], high[on])
                 lone = high[on] - low[on] < 2
                 read[on[lone]] = step
                 on = on[~lone]
-                if not len(on):
-                    break
             wanted[which, column] = False
-            if len(on):
-                found.append((which[on], back[column[on]], low[on], high[on]))
+            hit = read[of] == WINDOW
+            found.append((which[hit], back[column[hit]], low[of[hit]], high[of[hit]]))
             # a part that occurs once, from word `read` of the window on, rules out all windows that hold it
-            dead = np.flatnonzero(read < WINDOW)
-            upto = column[dead] + read[dead]
-            wanted[which[dead]] &= np.arange(span) > upto[:, None]
+            upto = (column + read[of])[~hit]
+            wanted[which[~hit]] &= np.arange(span) > upto[:, None]
         if not found:
             return (np.zeros(0, np.int64),) * 4
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))

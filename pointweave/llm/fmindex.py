@@ -38,17 +38,21 @@ class Wavelet:
             bit = ((v >> d) & 1).astype(bool)
             self.levels.append((d, Bits(bit), int((~bit).sum())))
             v = np.concatenate([v[~bit], v[bit]])
+        # where the symbols' runs begin in the last order, which is by the bits read backwards
+        symbol, base = np.arange(sigma), np.zeros(sigma, np.int64)
+        for d, bits, zeros in self.levels:
+            b = bits.rank(base)
+            base = np.where(((symbol >> d) & 1).astype(bool), zeros + b, base - b)
+        self.base = base
 
     def ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each symbol before low and before high."""
-        base = np.zeros_like(low)
         for d, bits, zeros in self.levels:
             one = ((symbol >> d) & 1).astype(bool)
-            b, l, h = bits.rank(base), bits.rank(low), bits.rank(high)
-            base = np.where(one, zeros + b, base - b)
+            l, h = bits.rank(low), bits.rank(high)
             low = np.where(one, zeros + l, low - l)
             high = np.where(one, zeros + h, high - h)
-        return low - base, high - base
+        return low - self.base[symbol], high - self.base[symbol]
 
 
 class FMIndex:
@@ -62,19 +66,25 @@ class FMIndex:
         inside = np.ones(total, bool)
         inside[end] = False
         full[end], full[inside] = np.arange(texts), symbols + texts
-        rank, step = full, 1
+        # the first order is by as many symbols as fit into 62 bits, then each step doubles them
+        width = max(1, int(texts + sigma).bit_length())
+        step = max(1, 62 // width)
+        padded = np.concatenate([full + 1, np.zeros(step, np.int64)])
+        key = np.zeros(total, np.int64)
+        for i in range(step):
+            key = key << width | padded[i : i + total]
         while True:  # suffixes differ within longest + 1 symbols, as separators do
-            after = np.concatenate([rank[step:], np.full(min(step, total), -1)])
-            key = rank * np.int64(max(int(rank.max(initial=0)), int(after.max(initial=0))) + 2) + after + 1
-            self.order = np.argsort(key, kind="stable")
+            self.order = np.argsort(key)
             sorted_key = key[self.order]
             fresh = np.zeros(total, np.int64)
             np.cumsum(sorted_key[1:] != sorted_key[:-1], out=fresh[1:])
+            if total == 0 or int(fresh[-1]) == total - 1 or step > longest + 1:
+                break
             rank = np.empty(total, np.int64)
             rank[self.order] = fresh
+            after = np.concatenate([rank[step:], np.full(min(step, total), -1)])
+            key = rank * np.int64(total + 1) + after + 1
             step *= 2
-            if total == 0 or int(fresh[-1]) == total - 1 or step > longest + 1:
-                break
         # separators are never searched for: in the transform they share symbol 0
         last = full[self.order - 1]
         self.wavelet = Wavelet(np.where(last < texts, 0, last - texts + 1), sigma + 1)

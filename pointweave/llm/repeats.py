@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import U64, bytes_of, cut, mix64, shuffle_partitions
 
-PACK, LEAST_PACK, SLICE, HOT, SHARD = 8 << 20, 1 << 20, 1 << 20, 256, 16 << 20
+PACK, LEAST_PACK, SLICE, HOT, SHARD = 8 << 20, 1 << 20, 1 << 20, 256, 8 << 20
 FILE = 2  # bits of the number of packs in a file
 BUCKETS = 50_000  # of the table, at most
 NAME = 28  # bits of an anchor's name within its shard
@@ -314,7 +314,8 @@ def _found(table: DataFrame, method: Method, shape: Shape, shards: int, hot_pack
         for b in batches:
             for pack, p in _packs_in(b):
                 s = method.symbols(p)
-                uniques = np.unique(_names(anchors(s.gram_hashes, s.n, s.offsets, shape).hash, shards))
+                names = np.sort(_names(anchors(s.gram_hashes, s.n, s.offsets, shape).hash, shards))
+                uniques = names[np.append(True, names[1:] != names[:-1])] if len(names) else names
                 rows = [(shard, pack, _packed(uniques[where])) for shard, where in _runs(uniques >> NAME)]
                 yield _batch(rows, ["shard", "pack", "names"], [pa.int64(), pa.int64(), pa.binary()])
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import U64, bytes_of, cut, mix64, shuffle_partitions
 
-PACK, LEAST_PACK, SLICE, HOT, SHARD = 8 << 20, 1 << 20, 1 << 20, 256, 8 << 20
+PACK, LEAST_PACK, SLICE, HOT, SHARD = 4 << 20, 1 << 20, 1 << 20, 256, 8 << 20
 FILE = 2  # bits of the number of packs in a file
 BUCKETS = 50_000  # of the table, at most
 NAME = 28  # bits of an anchor's name within its shard
@@ -292,7 +292,7 @@ def find(docs: DataFrame, method: Method, pack_size: int | None = None, hot_pack
     shards = max(shuffle_partitions(spark), bytes_in // SHARD)
     # a small input is dealt out to all tasks
     pack_size = pack_size or min(PACK, max(LEAST_PACK, bytes_in // (shuffle_partitions(spark) << FILE)))
-    name = bucketed(packs(docs, pack_size), min(shards, BUCKETS))
+    name = bucketed(packs(docs, pack_size), min(shuffle_partitions(spark), BUCKETS))
     try:
         return cut(_found(spark.table(name), method, shape, shards, hot_packs))
     finally:

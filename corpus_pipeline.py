@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm import mixing, neardup, packing, quality, secrets
-from pointweave.llm._common import cut, scratch, session, table
+from pointweave.llm._common import cut, session, table
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
@@ -71,10 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{scratch(docs)}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after the other over documents, each written as a Parquet table and read again; a stage's input goes then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
-        docs = spark.read.parquet(f"{at}/{i}")
+        name = f"pipeline_{uuid.uuid4().hex}_{i}"
+        stage(spark, docs, sf_dir).write.format("parquet").saveAsTable(name)
+        docs = spark.table(name)
+        if before:
+            spark.sql(f"DROP TABLE {before}")
+        before = name
     return docs

@@ -15,6 +15,7 @@ rows. Memory is about 120 bytes for a byte of the longest text, or of a pack.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -165,15 +166,12 @@ class FMDedup(repeats.Method):
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def rows(self, pack: repeats.Pack, s: Words, repeated: np.ndarray) -> pa.RecordBatch:
-        gone = repeats.covered(repeated, WINDOW)
-        total = np.concatenate([[0], np.cumsum(gone)])
-        raw, kept = pack.data.tobytes(), []
-        counts = np.diff(s.offsets)
-        removed = np.diff(total[s.offsets])
+        stays, removed, _ = repeats.covered(repeated, WINDOW, s.offsets)
+        raw, kept, counts = pack.data.tobytes(), [], np.diff(s.offsets)
         for d, (x, y) in enumerate(zip(pack.offsets[:-1].tolist(), pack.offsets[1:].tolist(), strict=True)):
             words = raw[x:y].split()
             if removed[d]:
-                words = [w for w, g in zip(words, gone[s.offsets[d] : s.offsets[d + 1]].tolist(), strict=True) if not g]
+                words = list(itertools.compress(words, stays[s.offsets[d] : s.offsets[d + 1]].tolist()))
             kept.append(b" ".join(words))
         ids = pa.array(pack.ids, pa.int64(), mask=pack.null.astype(bool))
         cols = [ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string()), *([pa.array(kept, pa.binary()).cast(pa.string())] if self.texts else [])]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._common import U64, bytes_of, cut, mix64, shuffle_partitions
 
-PACK, LEAST_PACK, SLICE, HOT, SHARD = 4 << 20, 1 << 20, 1 << 20, 256, 8 << 20
+PACK, LEAST_PACK, SLICE, HOT, SHARD = 4 << 20, 1 << 20, 1 << 16, 256, 8 << 20
 FILE = 2  # bits of the number of packs in a file
 BUCKETS = 50_000  # of the table, at most
 NAME = 28  # bits of an anchor's name within its shard
@@ -133,20 +133,20 @@ def anchors(gram_hashes: Callable[[int, int], np.ndarray], n: int, offsets: np.n
     for a in range(0, n - window + 1, SLICE):
         z = min(a + SLICE, n - window + 1)  # windows a..z-1
         g = gram_hashes(a, z + span - 1)
-        least = _slide(g, span, np.minimum)
+        top = np.maximum((g >> U64(32)).astype(np.uint32), np.uint32(1))  # 0 marks windows that would leave their document
+        padded = np.zeros(z - a + 2 * (span - 1), np.uint32)
+        least = padded[span - 1 : span - 1 + z - a]
+        least[:] = _slide(top, span, np.minimum)
         lo, hi = np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, z + window, side="left")
-        for d in range(max(0, lo), min(len(offsets) - 1, hi) + 0):
+        for d in range(max(0, lo), min(len(offsets) - 1, hi)):
             x, y = max(a, int(offsets[d]), int(offsets[d + 1]) - window + 1), min(z, int(offsets[d + 1]))
             if x < y:
-                least[x - a : y - a] = 0  # these windows would leave their document
-        if z - a < 1:
-            continue
-        pad = np.zeros(span - 1, U64)
-        padded = np.concatenate([pad, least, pad])
-        at = np.flatnonzero((_slide(padded, span, np.maximum) == g) & (g != 0))
+                least[x - a : y - a] = 0
+        at = np.flatnonzero(_slide(padded, span, np.maximum) == top)
+        mine = top[at]
         own = np.zeros(len(at), np.uint32)
         for back in range(span):
-            own |= (padded[at + span - 1 - back] == g[at]).astype(np.uint32) << np.uint32(back)
+            own |= (padded[at + span - 1 - back] == mine).astype(np.uint32) << np.uint32(back)
         found.append((at + a, g[at], own))
     if not found:
         empty = np.zeros(0, np.int64)
@@ -405,6 +405,7 @@ def _found(table: DataFrame, method: Method, shape: Shape, shards: int, hot_pack
                         later |= (p.ids[doc] == p.ids[a.doc[stood]]) & (start > base)
                     mine = np.where(later, t.own, bits[t.of] & t.own)
                     at = a.at[t.anchor]
+                    at, mine = at[mine > 0], mine[mine > 0]
                     for back in range(shape.span):
                         repeated[at[(mine >> np.uint32(back)) & 1 == 1] - back] = True
                 yield method.rows(p, s, repeated)
@@ -412,10 +413,13 @@ def _found(table: DataFrame, method: Method, shape: Shape, shards: int, hot_pack
     return flagged.join(decisions, "part", "left").mapInArrow(apply, method.schema)
 
 
-def covered(repeated: np.ndarray, window: int) -> np.ndarray:
-    """The symbols inside a window that begins at a marked one."""
-    change = np.zeros(len(repeated) + window + 1, np.int32)
+def covered(repeated: np.ndarray, window: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols inside a window that begins at a marked one: a mask of all others, and by document the count and the runs."""
     at = np.flatnonzero(repeated)
-    change[at] += 1
-    change[at + window] -= 1
-    return np.cumsum(change)[: len(repeated)] > 0
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    head = np.append(True, (np.diff(at) > window) | (np.diff(doc) > 0))[: len(at)]
+    begin, end = at[head], at[np.append(head[1:], True)[: len(at)]] + window
+    bounds = np.stack([begin, end], axis=1).reshape(-1)
+    kept = np.repeat(np.arange(len(bounds) + 1) % 2 == 0, np.diff(bounds, prepend=0, append=len(repeated)))
+    n = len(offsets) - 1
+    return kept, np.bincount(doc[head], weights=end - begin, minlength=n).astype(np.int64), np.bincount(doc[head], minlength=n)

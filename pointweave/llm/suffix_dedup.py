@@ -121,17 +121,12 @@ class SuffixDedup(repeats.Method):
         np.bitwise_or.at(earlier, kinds[i[hit]], np.uint32(1) << back[hit].astype(np.uint32))
 
     def rows(self, pack: repeats.Pack, s: Bytes, repeated: np.ndarray) -> pa.RecordBatch:
-        gone = repeats.covered(repeated, WINDOW)
-        offsets, n = pack.offsets, len(pack.ids)
-        begins = gone.copy()
-        begins[1:] &= ~gone[:-1]
-        first = offsets[:-1][np.diff(offsets) > 0]
-        begins[first] = gone[first]
-        total, runs = np.concatenate([[0], np.cumsum(gone)]), np.concatenate([[0], np.cumsum(begins)])
-        kept, at = pack.data[~gone].tobytes(), offsets - total[offsets]
-        texts = [kept[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        kept, removed, runs = repeats.covered(repeated, WINDOW, pack.offsets)
+        sizes, n = np.diff(pack.offsets), len(pack.ids)
+        left, at = pack.data[kept].tobytes(), np.concatenate([[0], np.cumsum(sizes - removed)])
+        texts = [left[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
         ids = pa.array(pack.ids, pa.int64(), mask=pack.null.astype(bool))
-        cols = [ids, np.diff(offsets), np.diff(total[offsets]), np.diff(runs[offsets]), [hashlib.sha256(t).hexdigest() for t in texts], *([pa.array(texts, pa.binary())] if self.texts else [])]
+        cols = [ids, sizes, removed, runs, [hashlib.sha256(t).hexdigest() for t in texts], *([pa.array(texts, pa.binary())] if self.texts else [])]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if self.texts else [])]
         assert n == len(texts)
         return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names)

@@ -9,43 +9,53 @@ from pyspark.sql import functions as F
 
 from . import fm_dedup, langid, lcp, mixing, neardup, packing, quality, rules, secrets, suffix_dedup
 from ._common import fold, session, table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited version, and their likeness to those of the next document."""
     return lcp.edited_pairs(table(session(spark), sf_dir, "documents"))
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and novel secret spans of every text."""
     docs = table(session(spark), sf_dir, "documents")
     return secrets.scan(docs, keep=["doc_id"]).drop("redacted")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and the verdict of the risk-controlled rules, by language."""
     docs, labels = table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     return rules.verdicts(docs, labels)
 
 
 def op4_bagminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, named by its least doc_id."""
     return neardup.classes(table(session(spark), sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the byte strings that smaller documents have too."""
     return suffix_dedup.remove(table(session(spark), sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
     return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the word windows that start earlier, too."""
     return fm_dedup.remove(table(session(spark), sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
     return packing.pack(table(session(spark), sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from two folds of three."""
     docs = table(session(spark), sf_dir, "documents")
     held = fold(3) == 1
     prototypes = langid.learn(docs, ~held)
@@ -53,6 +63,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every text, learned from three folds of four."""
     docs, labels = table(session(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold(4) == 2
     model = quality.learn(docs, labels.where(~held).withColumn("label", F.col("quality")))
@@ -72,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
 }
-
-ORACLES: dict[str, str] = {}

@@ -154,12 +154,12 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, dictionary: str = DICTIONARY, novelty: float = NOVELTY) -> DataFrame:
-    """The kept columns of docs (all but text, if not said) and n_assign, n_access, n_hex, n_novel, base_sha256, spans, redacted.
+    """The kept columns of docs (all but text, if not said) and n_assign, n_access, n_hex, base_sha256, spans, n_novel, redacted.
 
     redacted is the text with every span replaced by <SECRET>; overlapping spans are replaced as one. Columns of docs that
     have one of these names are replaced.
     """
-    new = ["n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "redacted"]
+    new = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "redacted"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != "text" and c not in new]
     source = docs.select("text", *keep)
     schema = docs.select(*keep).schema
@@ -181,9 +181,8 @@ def scan(docs: DataFrame, keep: list[str] | None = None, dictionary: str = DICTI
                         clean += [text[at:s], "<SECRET>"]
                     at = max(at, e)
                 counts = [sum(k == i for _, k, _ in every) for i in range(4)]
-                for col, v in zip(rows, [*counts, sha(joined(base).encode()), joined(every), "".join([*clean, text[at:]])], strict=True):
+                for col, v in zip(rows, [*counts[:3], sha(joined(base).encode()), joined(every), counts[3], "".join([*clean, text[at:]])], strict=True):
                     col.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], [*keep, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, pa.int64() if n[:2] == "n_" else pa.string()) for n, c in zip(new, rows, strict=True))], [*keep, *new])
 
     return source.mapInArrow(run, schema)

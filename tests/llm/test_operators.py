@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -162,10 +163,53 @@ def test_cutoffs_keep_their_bound(spark):
     assert np.mean([not r["kept"] for r in bad]) > 0.9
 
 
+def test_verdicts_follow_the_steps_one_by_one(spark):
+    """Cutoffs found again from the counts in plain Python, at a size where they pass."""
+    d = "/root/testdata/sf0.01"
+    rows = [r.asDict() for r in registry.op3_quality_rules(spark, d).collect()]
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, d, "documents").collect()}
+    good = {r["doc_id"]: r["quality"] == 1 for r in table(spark, d, "labels").collect()}
+    ratio = lambda a, b: a / b if b else 0.0
+    of = lambda r: {"symbols": ratio(r["n_symbols"], r["word_chars"]), "dup_lines": ratio(r["n_dup_lines"], r["n_lines"]), "repeats": ratio(r["n_repeat_words"], r["n_words"]), "upper": ratio(r["n_upper"], r["n_letters"]), "marks": ratio(r["n_marks"], r["n_words"])}
+    rejects = lambda r, cutoffs: any(of(r)[k] > c for k, c in cutoffs.items())
+    known = [r for r in rows if r["doc_id"] in good and not r["base_failed"]]
+    first = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % rules.PROPOSE == 0
+    strata = sorted({lang[r["doc_id"]] for r in known if good[r["doc_id"]]})
+    chosen = {}
+    for s in strata:
+        rows_of = lambda g, f: [r for r in known if lang[r["doc_id"]] == s and good[r["doc_id"]] == g and first(r) == f]  # noqa: B023, E731
+        yes, no = rows_of(True, True), rows_of(False, True)
+        share = lambda x, c: sum(rejects(r, c) for r in x) / max(1, len(x))
+        paths = {}
+        for k, (loose, strict) in rules.RANGE.items():
+            fit = [c for c in rules.path(loose, strict) if share(yes, {k: c}) <= 0.01 and share(no, {k: c}) > share(yes, {k: c})]
+            if fit:
+                paths[k] = rules.path(loose, fit[-1])
+        yes, no, best = rows_of(True, False), rows_of(False, False), 0.0
+        for i in range(rules.STEPS):
+            cutoffs = {k: p[i] for k, p in paths.items()}
+            lost = sum(rejects(r, cutoffs) for r in yes)
+            if sum(math.comb(len(yes), j) * 0.05**j * 0.95 ** (len(yes) - j) for j in range(lost + 1)) > 0.05 / len(strata):
+                break
+            if share(no, cutoffs) - share(yes, cutoffs) > best:
+                best, chosen[s] = share(no, cutoffs) - share(yes, cutoffs), cutoffs
+    assert chosen
+    for r in rows:
+        assert r["kept"] == (not r["base_failed"] and not rejects(r, chosen.get(lang[r["doc_id"]], {})))
+
+
+def test_rules_of_odd_rows(spark, odd, nothing):
+    labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    rows = rules.verdicts(odd, labels).collect()
+    assert len(rows) == len(ODD)
+    assert all(r["base_failed"] and not r["kept"] for r in rows if not (r["n_words"] >= 50))
+    assert rules.verdicts(nothing, labels).count() == 0 and rules.verdicts(odd, labels.where("false")).count() == len(ODD)
+
+
 def test_binomial_tail():
     from math import comb
 
-    for k, n, p in ((0, 10, 0.1), (3, 20, 0.3), (20, 20, 0.5)):
+    for k, n, p in ((0, 10, 0.1), (3, 20, 0.3), (20, 20, 0.5), (150, 900, 0.2), (0, 300, 0.9), (12, 13, 0.4), (5, 10, 0.5), (240, 900, 0.2)):
         assert abs(rules.tail(k, n, p) - sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) < 1e-12
 
 

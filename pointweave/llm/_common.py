@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import re
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,13 @@ SLICE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df of a file scan, dealt to all cores where its splits are fewer; larger inputs are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def session(spark: SparkSession) -> SparkSession:
@@ -32,11 +37,21 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset the warehouse, which a cluster shares too, or on a local master a temporary folder."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir", None):
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="checkpoint-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the checkpoint folder that all executors share, and reads it from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -81,16 +96,6 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def crc_text(x) -> int:
-    return zlib.crc32(str(x).encode())
-
-
-def scratch(df: DataFrame) -> str:
-    """A folder for written tables, below the shared checkpoint folder where one is named."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(base or tempfile.mkdtemp(prefix="scratch-"), "tables")
-
-
 _BYTE = seeded(256, 77) | U64(1)
 _R = U64(0x9E6C63D0676A9A99)
 _RINV = U64(pow(int(_R), -1, 1 << 64))
@@ -152,7 +157,7 @@ def _words_in(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple
         return mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(U64)), begin, end
 
 
-def chunks_of(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks_of(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) over runs of rows with about `size` bytes; a longer text makes a run alone."""
     data, offsets = bytes_of(column)
     a, n = 0, len(offsets) - 1

@@ -6,9 +6,8 @@ its weight, and a component's signature is its first point. Two bags share a com
 to their weighted Jaccard similarity. A point later than the worst component cannot matter, which ends the work early.
 
 Texts with the same words are one node. Nodes meet in buckets (band number, ROWS components of the signature). First every
-node is compared with the least key of its buckets, then every bucket's least key with all members that are not yet in its
-class; a comparison is exact, on the whole multisets. Members of one class need no comparison, so buckets of copies are done
-then. In the buckets that are left all pairs of different classes are looked at, block by block: pairs whose signatures
+node is compared with the least key of each of its buckets; a comparison is exact, on the whole multisets. Members of one
+class need no comparison, so buckets of copies are done then. In the buckets that are left all pairs of different classes are looked at, block by block: pairs whose signatures
 agree in less than a share of NEAR cannot reach the threshold and go; the others are compared exactly where they meet, and
 only links that join two classes come out. Nothing is capped.
 Links are joined into classes by label passing with pointer jumping; a class is named by its least doc_id.
@@ -252,37 +251,32 @@ def close(state: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """(doc_id, class_id, key, n) and the kept columns for every row of docs (doc_id, text); key names the class."""
+    """(doc_id, class_id, key, n) and the kept columns for every row of docs (doc_id, text); key names the class.
+
+    Kept columns that have one of these names, or that of the text or a signature, are left out.
+    """
+    keep = [c for c in keep if c not in ("doc_id", "text", "class_id", "key", "n", "bands", "sketch", "label")]
     printed = cut(prints(docs, keep))
     nodes = printed.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     # members are counted first, so that lone ones do not move on
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    state = cut(rows.join(shared, "bucket").select("bucket", "key", "n", F.col("key").alias("label")))
+    state = cut(rows.join(shared, "bucket").select("bucket", "key", "n"))
     bag = cut(bags(docs, state.select("key").distinct()))
-    links = labels = None
+    lead = F.min(F.struct("key", "n")).alias("lead")
     fits = F.least("n", F.col("lead.n")) >= THRESHOLD * F.greatest("n", F.col("lead.n")) - 1e-9
-    for step in ("least leader", "all leaders", "rest"):
-        lead = state.groupBy("bucket").agg(F.min(F.struct("key", "n", "label")).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high"))
-        state = state.join(lead.select("bucket", "lead"), "bucket")  # buckets of one label are done
-        if step == "rest":
-            # what a member has to show is joined to the few that are left, once for each bucket
-            left = state.select("key").distinct()
-            shows = printed.join(left, "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).join(bag, "key")
-            found = cut(close(state.select("bucket", "key", "n", "label").join(shows, "key")))
-        else:
-            pairs = state.where((F.col("label") != F.col("lead.label")) & fits).select(F.col("lead.key").alias("a"), F.col("key").alias("b"))
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if step == "least leader" else pairs.distinct()
-            found = cut(verified(pairs, bag))
-        state = state.select("bucket", "key", "n", "label")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-            state = state.select("bucket", "key", "n").join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
-        if step != "rest":
-            state = cut(state)
+    led = state.join(state.groupBy("bucket").agg(lead), "bucket").where((F.col("key") != F.col("lead.key")) & fits)
+    links = cut(verified(led.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct(), bag))
+    labels = components(links)
+    state = state.join(labels, "key", "left").select("bucket", "key", "n", F.coalesce("label", "key").alias("label"))
+    mixed = state.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    state = cut(state.join(mixed, "bucket"))  # buckets of one label are done
+    # what a member has to show is joined to the few that are left, once for each bucket
+    shows = printed.join(state.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).join(bag, "key")
+    found = cut(close(state.join(shows, "key")))
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named = printed.select("doc_id", "key", "n", *keep)
-    if labels is not None:
-        named = named.join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("key"), "n", *keep)
+    named = named.join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("key"), "n", *keep)
     least = named.groupBy("key").agg(F.min("doc_id").alias("class_id"))
     return named.join(least, "key").select("doc_id", "class_id", "key", "n", *keep)

@@ -191,6 +191,11 @@ def _graph(bins: str) -> str:
 
 
 GRAPH = [*E, ("tilt", "SELECT * REPLACE (CASE WHEN kx % 5 <> 0 THEN least(nz, 699999) ELSE nz END AS nz, fixed AND kx % 5 = 0 AS fixed) FROM oriented"), ("graph", _graph("tilt"))]
+#: All bins undecided; labels sink to the least cell of the component, round after round.
+LOOSE = [*E, ("loose", "SELECT * REPLACE (least(nz, 699999) AS nz, false AS fixed) FROM oriented"), ("graph", _graph("loose")),
+         ("labels(seg, level, kx, ky, kz, label) USING KEY (seg, level, kx, ky, kz)", """SELECT seg, level, kx, ky, kz, {'kx': kx, 'ky': ky, 'kz': kz} FROM loose
+ UNION SELECT g.seg, g.level, g.tkx, g.tky, g.tkz, min(l.label) FROM labels l JOIN graph g ON g.seg = l.seg AND g.level = l.level AND g.skx = l.kx AND g.sky = l.ky AND g.skz = l.kz
+ JOIN recurring.labels r ON r.seg = g.seg AND r.level = g.level AND r.kx = g.tkx AND r.ky = g.tky AND r.kz = g.tkz WHERE l.label < r.label GROUP BY ALL""")]
 AGREE = [*E, ("base", f"SELECT gx, gy, gz, wd / w / 1000.0::DOUBLE AS d FROM ({_field(_splat('(SELECT * FROM oriented WHERE level = 1)'))}) WHERE w >= {ONE // 2}"),
          ("asked", "SELECT seg, level, kx, ky, kz, s, floor(ux)::BIGINT + x AS gx, floor(uy)::BIGINT + y AS gy, floor(uz)::BIGINT + z AS gz, 1.0::DOUBLE * (CASE WHEN x = 1 THEN ux - floor(ux) ELSE 1.0::DOUBLE - (ux - floor(ux)) END) * (CASE WHEN y = 1 THEN uy - floor(uy) ELSE 1.0::DOUBLE - (uy - floor(uy)) END) * (CASE WHEN z = 1 THEN uz - floor(uz) ELSE 1.0::DOUBLE - (uz - floor(uz)) END) AS wt FROM (SELECT *, "
           + ", ".join(f"(p{a} + s * 300.0::DOUBLE * (n{a} / 1000000.0::DOUBLE)) / 200.0::DOUBLE AS u{a}" for a in "xyz")
@@ -206,7 +211,7 @@ def _lists() -> str:
     out = "oriented"
     for a in "xyz":
         out = f"(SELECT *, unnest(range(floor(ceil((p{a} - 400) / 200.0::DOUBLE) / 8.0::DOUBLE)::BIGINT, floor(floor((p{a} + 400) / 200.0::DOUBLE) / 8.0::DOUBLE)::BIGINT + 1)) AS b{a} FROM {out})"
-    return f"SELECT bx, by, bz, count(*)::BIGINT AS bins FROM {out} GROUP BY ALL"
+    return f"SELECT bx, by, bz, count(*)::BIGINT AS bins, md5(string_agg(concat_ws(',', seg, level, kx, ky, kz), ';' ORDER BY seg, level, kx, ky, kz)) AS list FROM {out} GROUP BY bx, by, bz"
 
 
 ORACLES: dict[str, str] = {
@@ -222,8 +227,8 @@ ORACLES: dict[str, str] = {
     "neighbor_moments": _with(E[:4], "SELECT seg, level, kx, ky, kz, m, mx, my, mz, mxx, myy, mzz, mxy, mxz, myz FROM moments"),
     "bins_dropped": _with(E[:4], "SELECT seg, level, sum(CASE WHEN NOT fixed AND m >= 6 THEN 1 ELSE 0 END)::BIGINT AS estimated, sum(CASE WHEN NOT fixed AND m < 6 THEN 1 ELSE 0 END)::BIGINT AS dropped FROM moments GROUP BY ALL"),
     "plane_normals": _with(E, "SELECT seg, level, kx, ky, kz, round(nx / 1000.0::DOUBLE)::BIGINT AS nx, round(ny / 1000.0::DOUBLE)::BIGINT AS ny, round(nz / 1000.0::DOUBLE)::BIGINT AS nz FROM oriented WHERE NOT fixed"),
-    "voxel_range": _with(B, f"SELECT layer, count(*)::BIGINT AS rows, min(gx) AS gx0, max(gx) AS gx1, min(gy) AS gy0, max(gy) AS gy1, min(gz) AS gz0, max(gz) AS gz1 FROM ({_splat('(SELECT * FROM bins WHERE fixed)')}) GROUP BY ALL"),
-    "voxel_field": _with(B, _field(_splat("(SELECT * FROM bins WHERE fixed)"))),
+    "voxel_range": _with(E, f"SELECT layer, count(*)::BIGINT AS rows, min(gx) AS gx0, max(gx) AS gx1, min(gy) AS gy0, max(gy) AS gy1, min(gz) AS gz0, max(gz) AS gz1 FROM ({_splat('oriented')}) GROUP BY ALL"),
+    "voxel_field": _with(FIELD, "SELECT * FROM field"),
     "layer_sum": _with(FIELD, _summed("field")),
     "retract_layer": _with(FIELD, _summed("(SELECT * FROM field WHERE layer <> 1)")),
     "preview_replaced_field": _with([*E, ("live", "SELECT * FROM oriented WHERE level = 1 OR seg NOT IN (SELECT seg FROM oriented WHERE level = 1)"), ("field", _field(_splat("live")))], _summed("field")),
@@ -240,19 +245,20 @@ ORACLES: dict[str, str] = {
     "mesh_statistics": _with([*USED, ("s", MESH_STATS)], "SELECT count(*)::BIGINT AS blocks, sum(vertices)::BIGINT AS vertices, sum(triangles)::BIGINT AS triangles, sum(vertices * 15 + triangles * 12)::BIGINT AS bytes FROM s"),
     "block_digests": _with(USED, _digests("quads", "used")),
     "dirty_blocks": _with(DIRTY1, "SELECT * FROM dirty"),
-    "halo_mask": _with([*FIELD, ("basev", "SELECT * FROM field WHERE layer = -1")], _halo("basev", upper=True)),
+    "halo_mask": _with(FIELD, _halo("field", upper=True)),
     "changed_blocks": _with(STATES, "SELECT coalesce(a.bx, b.bx) AS bx, coalesce(a.by, b.by) AS by, coalesce(a.bz, b.bz) AS bz, (CASE WHEN a.digest IS NULL THEN 1 ELSE 2 END)::BIGINT AS version, b.digest IS NULL AS gone FROM dig_a a FULL JOIN dig_b b ON a.bx = b.bx AND a.by = b.by AND a.bz = b.bz WHERE a.digest IS DISTINCT FROM b.digest"),
     "extract_stats": _with([*STATES, *DIRTY1[len(E):], ("j", "SELECT d.direct, a.digest AS o, b.digest AS n FROM dirty d LEFT JOIN dig_a a ON a.bx = d.bx AND a.by = d.by AND a.bz = d.bz LEFT JOIN dig_b b ON b.bx = d.bx AND b.by = d.by AND b.bz = d.bz")],
                            "SELECT count(*)::BIGINT AS reextracted, sum(direct::INT)::BIGINT AS direct, sum((o IS DISTINCT FROM n)::INT)::BIGINT AS updated, sum((o IS NOT DISTINCT FROM n AND direct AND n IS NOT NULL)::INT)::BIGINT AS unchanged_direct, sum((o IS NOT DISTINCT FROM n AND NOT direct AND n IS NOT NULL)::INT)::BIGINT AS unchanged_neighbor, sum((o IS NULL AND n IS NULL)::INT)::BIGINT AS unchanged_empty FROM j"),
     "segment_admission": _with([*P, ("arrivals", "SELECT DISTINCT seg, level FROM points"), ("refined", "SELECT seg FROM arrivals WHERE level = 1 AND seg < 2")], "SELECT seg, level, CASE WHEN seg NOT IN (SELECT seg FROM refined) THEN 'accepted' WHEN level = 1 THEN 'AlreadyRefined' ELSE 'PreviewAfterRefined' END AS reason FROM arrivals"),
-    "neighbor_edges": _with(GRAPH, "SELECT seg, level, skx, sky, skz, count(*)::BIGINT AS edges, sum(round(v * 1000)::BIGINT)::BIGINT AS v, sum((NOT dst_need)::INT)::BIGINT AS seeds FROM graph GROUP BY ALL"),
+    "neighbor_edges": _with(GRAPH, "SELECT * REPLACE (round(v * 1000)::BIGINT AS v) FROM graph"),
+    "components": _with(LOOSE, "SELECT seg, level, kx, ky, kz, label.kx AS cx, label.ky AS cy, label.kz AS cz FROM labels", recursive=True),
     "best_seed_edge": _with(GRAPH, "SELECT seg, level, skx, sky, skz, tkx, tky, tkz, round(v * 1000000)::BIGINT AS v FROM graph WHERE NOT dst_need QUALIFY row_number() OVER (PARTITION BY seg, level, skx, sky, skz ORDER BY least(abs(v), 1.0::DOUBLE) DESC, tkx, tky, tkz) = 1"),
     "base_agreement": _with(AGREE, "SELECT seg, level, kx, ky, kz, round(a * 1000)::BIGINT AS a FROM agree"),
     "oracle_signs": _with(AGREE, "SELECT seg, count(*)::BIGINT AS bins, sum((fixed OR coalesce(abs(a) >= 0.3, false))::INT)::BIGINT AS fixed, sum((CASE WHEN NOT fixed AND coalesce(a <= -0.3, false) THEN -nz ELSE nz END < 0)::INT)::BIGINT AS down FROM (SELECT o.*, agree.a FROM oriented o LEFT JOIN agree ON agree.seg = o.seg AND agree.level = o.level AND agree.kx = o.kx AND agree.ky = o.ky AND agree.kz = o.kz WHERE o.level = 0) GROUP BY ALL"),
     "weld_counts": _with([*USED, ("w", "SELECT x, y, z, count(*) AS uses, arg_min(r, (bx, by, bz, idx)) AS r FROM used GROUP BY x, y, z")], "SELECT count(*)::BIGINT AS welded, sum(uses)::BIGINT AS vertices, sum(r)::BIGINT AS r FROM w"),
     "weld_vertices": _with(USED, "SELECT x, y, z, arg_min(r, (bx, by, bz, idx))::INT AS r, arg_min(g, (bx, by, bz, idx))::INT AS g, arg_min(b, (bx, by, bz, idx))::INT AS b, count(*)::BIGINT AS uses FROM used GROUP BY x, y, z"),
-    "far_fraction": _with([*USED, ("mm", MM), ("pts", "SELECT DISTINCT x, y, z, floor(x / 100.0)::BIGINT AS kx FROM points WHERE level = 1 AND seg = 0"),
-                           ("hit", "SELECT DISTINCT v.x, v.y, v.z FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM mm) v JOIN pts p ON p.kx = floor(v.x / 100.0)::BIGINT + v.dx AND (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y) + (p.z - v.z) * (p.z - v.z) <= 10000")],
+    "far_fraction": _with([*USED, ("mm", MM), ("pts", "SELECT DISTINCT x, y, z, floor(x / 100.0)::BIGINT AS kx, floor(y / 100.0)::BIGINT AS ky FROM points"),
+                           ("hit", "SELECT DISTINCT v.x, v.y, v.z FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM mm)) v JOIN pts p ON p.kx = floor(v.x / 100.0)::BIGINT + v.dx AND p.ky = floor(v.y / 100.0)::BIGINT + v.dy AND (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y) + (p.z - v.z) * (p.z - v.z) <= 10000")],
                           "SELECT n AS vertices, n - h AS far, round((n - h) / n, 6) AS fraction FROM (SELECT (SELECT count(*) FROM mm)::BIGINT AS n, (SELECT count(*) FROM hit)::BIGINT AS h)"),
     "stream_replay_final_field": _with([*E, ("live", "SELECT * FROM oriented WHERE (seg < 2 AND level = 1) OR (seg = 2 AND level = 0)"), ("field", _field(_splat("live")))], _summed("field")),
 }

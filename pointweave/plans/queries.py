@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import BASE, NORMAL_ONE, REFINED, Config
+from ..config import REFINED, Config
 from ..functions.columns import finite, valid_normal
 from ..operators import bins as binning
 from ..operators import field as fields
@@ -95,12 +95,12 @@ def q_plane_normals(spark, d):
 
 
 def q_voxel_range(spark, d):
-    b = _bins(spark, d)
-    return fields.contributions(b.where("fixed"), CFG).groupBy("layer").agg(F.count("*").alias("rows"), F.min("gx").alias("gx0"), F.max("gx").alias("gx1"), F.min("gy").alias("gy0"), F.max("gy").alias("gy1"), F.min("gz").alias("gz0"), F.max("gz").alias("gz1"))
+    rows = fields.contributions(_oriented(spark, d), CFG)
+    return rows.groupBy("layer").agg(F.count("*").alias("rows"), *(f(f"g{a}").alias(f"g{a}{i}") for a in "xyz" for i, f in enumerate((F.min, F.max))))
 
 
 def q_voxel_field(spark, d):
-    return fields.field(_bins(spark, d).where("fixed"), CFG)
+    return _field(spark, d)
 
 
 def q_layer_sum(spark, d):
@@ -121,7 +121,8 @@ def q_block_lists(spark, d):
         lo = F.floor(F.ceil((F.col(f"p{a}") - CFG.splat_radius) / float(CFG.voxel)) / float(CFG.block_dim))
         hi = F.floor(F.floor((F.col(f"p{a}") + CFG.splat_radius) / float(CFG.voxel)) / float(CFG.block_dim))
         b = b.withColumn(f"b{a}", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-    return b.groupBy("bx", "by", "bz").agg(F.count("*").alias("bins"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(*binning.KEY))), lambda k: F.concat_ws(",", *(k[c] for c in binning.KEY)))
+    return b.groupBy("bx", "by", "bz").agg(F.count("*").alias("bins"), F.md5(F.concat_ws(";", listed)).alias("list"))
 
 
 def q_height_cells(spark, d):
@@ -185,8 +186,7 @@ def q_dirty_blocks(spark, d):
 
 
 def q_halo_mask(spark, d):
-    v = _field(spark, d).where(F.col("layer") == BASE).select("gx", "gy", "gz")
-    return incremental.halo(v, CFG, upper_only=True)
+    return incremental.halo(_field(spark, d).select("gx", "gy", "gz"), CFG, upper_only=True)
 
 
 def _states(spark, d):
@@ -235,8 +235,7 @@ def _tilted(spark, d):
 
 
 def q_neighbor_edges(spark, d):
-    g = orient.edges(_tilted(spark, d), CFG)
-    return g.groupBy("seg", "level", "skx", "sky", "skz").agg(F.count("*").alias("edges"), F.sum(F.round(F.col("v") * 1000).cast("long")).alias("v"), F.sum((~F.col("dst_need")).cast("long")).alias("seeds"))
+    return orient.edges(_tilted(spark, d), CFG).withColumn("v", F.round(F.col("v") * 1000).cast("long"))
 
 
 def q_best_seed_edge(spark, d):
@@ -257,14 +256,10 @@ def q_oracle_signs(spark, d):
     return out.groupBy("seg").agg(F.count("*").alias("bins"), F.sum(F.col("fixed").cast("long")).alias("fixed"), F.sum((F.col("nz") < 0).cast("long")).alias("down"))
 
 
-
-
 def q_components(spark, d):
-    b = cut(_oriented(spark, d).withColumn("fixed", F.lit(False)))
-    tilted = cut(b.where((F.abs("nz") < 0.9995 * NORMAL_ONE)))
-    graph = cut(orient.edges(tilted.withColumn("nz", F.least("nz", F.lit(699_999).cast("long"))), CFG))
-    found = orient.components(graph, tilted.withColumn("nz", F.least("nz", F.lit(699_999).cast("long"))), cut)
-    return found.groupBy("seg", "level", "cx", "cy", "cz").agg(F.count("*").alias("bins"))
+    """All bins are made undecided, so that a segment's sheet is a component, apart from what stands alone."""
+    b = cut(_oriented(spark, d).withColumn("fixed", F.lit(False)).withColumn("nz", F.least("nz", F.lit(699_999).cast("long"))))
+    return orient.components(cut(orient.edges(b, CFG)), b, cut)
 
 
 def q_propagated_normals(spark, d):

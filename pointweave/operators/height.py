@@ -34,6 +34,21 @@ def quads(seen: DataFrame, cfg: Config = Config()) -> DataFrame:
     return full.where(F.greatest(*z) - F.least(*z) <= 2 * cfg.splat_radius)
 
 
+def faces(seen: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The quads with tile (bx, by, 0) and corners q0..q3 in the form of surface.quads: vertices at cell centres, mean colours."""
+    half = cfg.voxel * 500
+    centre = {a: (F.col(f"c{a}") * (cfg.voxel * 1000) + half).cast("long") for a in "xy"}
+    colour = {c: F.least(F.greatest(F.round(F.col(f"w{c}") / F.col("w")), F.lit(0.0)), F.lit(255.0)).cast("int") for c in "rgb"}
+    named = seen.select("cx", "cy", F.lit(0).cast("long").alias("cz"), centre["x"].alias("x"), centre["y"].alias("y"), F.col("z").alias("h"), F.round(F.col("z") * 1000).cast("long").alias("z"), *(x.alias(c) for c, x in colour.items()))
+    v = F.struct("cx", "cy", "cz", "x", "y", "z", "r", "g", "b")
+    corners = F.array(*(F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"), F.lit(k).alias("k")) for k, (dx, dy) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))))
+    to = named.select("cx", "cy", "h", v.alias("v"), F.explode(corners).alias("o")).select((F.col("cx") - F.col("o.dx")).alias("gx"), (F.col("cy") - F.col("o.dy")).alias("gy"), F.col("o.k").alias("k"), "h", "v")
+    full = to.groupBy("gx", "gy").agg(F.count("*").alias("n"), (F.max("h") - F.min("h")).alias("step"), *(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"q{k}") for k in range(4)))
+    close = full.where((F.col("n") == 4) & (F.col("step") <= 2 * cfg.splat_radius))
+    zero = F.lit(0).cast("long")
+    return close.select(cell(F.col("gx"), cfg.block_dim).alias("bx"), cell(F.col("gy"), cfg.block_dim).alias("by"), zero.alias("bz"), "gx", "gy", zero.alias("gz"), F.lit(0).alias("axis"), "q0", "q1", "q2", "q3")
+
+
 def triangles(found: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Two triangles a quad, (a, b, c) and (a, c, d), with vertices at cell centres, in quad order per tile."""
     v = {n: F.struct(((F.col("cx") + dx) * cfg.voxel + cfg.voxel / 2).alias("x"), ((F.col("cy") + dy) * cfg.voxel + cfg.voxel / 2).alias("y"), F.col(z).alias("z")) for n, dx, dy, z in (("a", 0, 0, "z00"), ("b", 1, 0, "z10"), ("c", 1, 1, "z11"), ("d", 0, 1, "z01"))}

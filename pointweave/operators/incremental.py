@@ -68,6 +68,14 @@ def apply(state: DataFrame, built: DataFrame, dirty: DataFrame) -> DataFrame:
     return out.where((F.col("version") > 0) | F.col("changed"))
 
 
+def extract_stats(dirty: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row of counts over the dirty blocks; before and after: (bx, by, bz, digest), null or no digest for no mesh."""
+    both = dirty.join(before.select(*BLOCK, F.col("digest").alias("o")), BLOCK, "left").join(after.select(*BLOCK, F.col("digest").alias("n")), BLOCK, "left")
+    same, there, direct = F.col("o").eqNullSafe(F.col("n")), F.col("n").isNotNull(), F.col("direct")
+    kinds = {"direct": direct, "updated": ~same, "unchanged_direct": same & direct & there, "unchanged_neighbor": same & ~direct & there, "unchanged_empty": same & ~there}
+    return both.agg(F.count("*").alias("reextracted"), *(F.count(F.when(c, 1)).alias(k) for k, c in kinds.items()))
+
+
 def halo_readers(voxels: DataFrame, dim: int) -> DataFrame:
     """(gx, gy, gz, bx, by, bz): each voxel with every block that reads it; voxels: gx.., and their own block bx..."""
     out = voxels.select("gx", "gy", "gz", *BLOCK).distinct()

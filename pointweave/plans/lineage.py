@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointweave-")
+    """spark.checkpoint.dir; where it is unset the warehouse, which a cluster shares too, or on a local master a temporary folder."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return tempfile.mkdtemp(prefix="checkpoint-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:

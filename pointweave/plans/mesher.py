@@ -1,142 +1,317 @@
 """Incremental meshing with state tables: ingest segments, extract the blocks whose mesh really changed.
 
-State is a set of Parquet snapshots under one folder: bins and field rows by arrival (seg, level), the dirty set, and the
-block table with versions. A preview's rows are a layer of their own, so replacing or refining a segment drops whole rows and
-never subtracts. Snapshots are named by a generation number, and a new one is only used after it was written in full.
+State is a set of Parquet tables under one folder: rows of the field by arrival (seg, level), the dirty set, block versions, and
+the meshes as a list of parts, each holding the blocks that one extract changed. A preview's rows are a layer of their own, so
+replacing or refining a segment drops whole tables and never subtracts.
+
+Every step writes its tables first and then a manifest that names them, so a mesher opened again on the folder goes on from the
+last complete step. Steps may carry the number of the batch they belong to: what a batch did before it failed is not done
+again, and its changes are returned again.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass
+from typing import Any
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BASE, PREVIEW, REFINED, Config
+from ..config import BASE, REFINED, Config
 from ..operators import bins as binning
 from ..operators import field as fields
-from ..operators import height, incremental, normals, orient, surface
+from ..operators import height, incremental, mesh, normals, orient, surface
 from .lineage import cut
 
-FIELD = "layer int, gx long, gy long, gz long, wd long, w long, wr long, wg long, wb long"
+BLOCK = incremental.BLOCK
+ARRAYS = "positions array<long>, colors array<int>, indices array<int>"
+CHANGES = f"bx long, by long, bz long, version long, {ARRAYS}"
+STATE = "bx long, by long, bz long, version long, digest string"
+#: Parts of the mesh table before they are written as one.
+PARTS = 16
 
 
 class IngestError(ValueError):
     """AlreadyRefined or PreviewAfterRefined; nothing was changed."""
 
 
-class SurfaceMesher:
+@dataclass(frozen=True)
+class IngestStats:
+    input_points: int = 0
+    bins: int = 0
+    normals_estimated: int = 0
+    bins_dropped: int = 0
+    removed_preview: bool = False
+    dirty_blocks: int = 0
+
+
+@dataclass(frozen=True)
+class ExtractStats:
+    reextracted: int = 0
+    direct: int = 0
+    updated: int = 0
+    unchanged_direct: int = 0
+    unchanged_neighbor: int = 0
+    unchanged_empty: int = 0
+
+
+@dataclass(frozen=True)
+class BlockMesh:
+    """One block; positions in thousandths of a millimetre as x y z, colours as r g b."""
+
+    id: tuple[int, int, int]
+    version: int
+    positions: list[int]
+    colors: list[int]
+    indices: list[int]
+
+    @property
+    def vertex_count(self) -> int:
+        return len(self.positions) // 3
+
+    @property
+    def tri_count(self) -> int:
+        return len(self.indices) // 3
+
+    @property
+    def heap_bytes(self) -> int:
+        return 4 * len(self.positions) + len(self.colors) + 4 * len(self.indices)
+
+
+class Mesher:
+    """What the surface and the height mesher share. They give rows() of an arrival, halo() of rows, and build() dirty blocks."""
+
+    ROWS: str
+
+    def __init__(self, spark: SparkSession, folder: str, cfg: Config = Config()):
+        self.spark, self.folder, self.cfg = spark, folder.rstrip("/"), cfg
+        self._kept: dict[str, Any] = self._last() or {"generation": 0, "layers": {}, "refined": [], "dirty": None, "state": None, "parts": [], "arrivals": [], "extracted": None, "changes": None, "extract": asdict(ExtractStats())}
+
+    def rows(self, points: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        """Rows to keep of an arrival (seg, level), and its counts for IngestStats."""
+        raise NotImplementedError
+
+    def halo(self, rows: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def build(self, dirty: DataFrame) -> DataFrame:
+        """(bx, by, bz, positions, colors, indices) of the dirty blocks that have a mesh."""
+        raise NotImplementedError
+
+    # state
+
+    def _last(self) -> dict[str, Any] | None:
+        try:
+            found = self.spark.read.text(f"{self.folder}/manifest-*", wholetext=True).select(F.max_by("value", F.regexp_extract(F.input_file_name(), r"manifest-(\d+)", 1).cast("long"))).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return json.loads(found[0]) if found and found[0] else None
+
+    def _write(self, df: DataFrame, name: str) -> str:
+        self._kept["generation"] += 1
+        path = f"{self.folder}/{name}-{self._kept['generation']:08d}"
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    def _commit(self, kept: dict[str, Any]) -> None:
+        kept["generation"] = self._kept["generation"] + 1
+        self.spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/manifest-{kept['generation']:08d}")
+        self._kept = kept
+
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _dirty(self) -> DataFrame | None:
+        return self._read([self._kept["dirty"]], "bx long, by long, bz long, direct boolean") if self._kept["dirty"] else None
+
+    # ingest
+
+    def ingest(self, seg: int, level: int, points: DataFrame, batch: int | None = None) -> IngestStats:
+        """points: the columns of binning.aggregate in whole millimetres; seg and level are set here.
+
+        IngestError if the segment was refined before. A preview of the segment is dropped first, whatever follows it.
+        """
+        kept = json.loads(json.dumps(self._kept))
+        for a in kept["arrivals"]:
+            if batch is not None and a[:3] == [seg, level, batch]:
+                return IngestStats(**a[3])
+        if seg in kept["refined"]:
+            raise IngestError("AlreadyRefined" if level == REFINED else "PreviewAfterRefined")
+        rows, counts = self.rows(points.withColumns({"seg": F.lit(seg), "level": F.lit(level)}))  # sees the base only
+        path = self._write(rows, f"rows-{seg}-{level}")
+        gone = kept["layers"].pop(str(seg), [])
+        marks = [self.halo(self._read([p], self.ROWS)) for p in [*gone, path]]
+        before = self._dirty()
+        dirty = self._write(incremental.marked(*([before] if before is not None else []), *marks), "dirty")
+        if level == REFINED:
+            kept["refined"].append(seg)
+        kept["layers"].setdefault(str(BASE if level == REFINED else seg), []).append(path)
+        kept["dirty"] = dirty
+        stats = IngestStats(**counts, removed_preview=bool(gone), dirty_blocks=self.spark.read.parquet(dirty).count())
+        kept["arrivals"] = [a for a in kept["arrivals"] if a[2] == batch] + ([[seg, level, batch, asdict(stats)]] if batch is not None else [])
+        self._commit(kept)
+        return stats
+
+    def field(self, *layers: int) -> DataFrame:
+        """Rows of the given layers (BASE, or the segment of a preview), or of all."""
+        return self._read([p for layer, parts in self._kept["layers"].items() if not layers or int(layer) in layers for p in parts], self.ROWS)
+
+    def layers(self) -> list[int]:
+        return sorted(int(x) for x in self._kept["layers"])
+
+    def pending_segments(self) -> list[int]:
+        return [x for x in self.layers() if x != BASE]
+
+    def refined_segments(self) -> list[int]:
+        return sorted(self._kept["refined"])
+
+    def dirty_count(self) -> int:
+        dirty = self._dirty()
+        return 0 if dirty is None else dirty.count()
+
+    # extract
+
+    def extract(self, batch: int | None = None) -> DataFrame:
+        """Changed blocks (CHANGES) in block order; null arrays: the block is gone. Clears the dirty set."""
+        kept = json.loads(json.dumps(self._kept))
+        if batch is None or kept["extracted"] != batch:
+            dirty = self._dirty()
+            if dirty is None:
+                kept |= {"changes": None, "extract": asdict(ExtractStats())}
+            else:
+                built = cut(self.build(dirty))
+                new = incremental.digests(built)
+                state = self._state()
+                after = cut(incremental.apply(state, new, dirty))
+                changed = after.where("changed").join(built, BLOCK, "left").select(*BLOCK, "version", "positions", "colors", "indices")
+                kept["extract"] = incremental.extract_stats(dirty, state, new).first().asDict()
+                kept["changes"] = self._write(changed, "meshes")
+                kept["parts"].append(kept["changes"])
+                kept["state"] = self._write(after.select(*BLOCK, "version", "digest"), "state")
+                if len(kept["parts"]) > PARTS:
+                    kept["parts"] = [self._write(self._current(kept), "meshes")]
+                kept["dirty"] = None
+            kept["extracted"] = batch
+            self._commit(kept)
+        return self._read([kept["changes"]] if kept["changes"] else [], CHANGES).orderBy(*BLOCK)
+
+    def extract_stats(self) -> ExtractStats:
+        return ExtractStats(**self._kept["extract"])
+
+    def _state(self) -> DataFrame:
+        return self._read([self._kept["state"]] if self._kept["state"] else [], STATE)
+
+    def _current(self, kept: dict[str, Any]) -> DataFrame:
+        state = self._read([kept["state"]] if kept["state"] else [], STATE).where("digest is not null").select(*BLOCK, "version")
+        return self._read(kept["parts"], CHANGES).join(state, [*BLOCK, "version"], "left_semi")
+
+    def meshes(self) -> DataFrame:
+        """All blocks that have a mesh, with their versions."""
+        return self._current(self._kept)
+
+    def _at(self, block: tuple[int, int, int]) -> Any:
+        return (F.col("bx") == block[0]) & (F.col("by") == block[1]) & (F.col("bz") == block[2])
+
+    def mesh(self, block: tuple[int, int, int]) -> BlockMesh | None:
+        r = self.meshes().where(self._at(block)).first()
+        return BlockMesh(tuple(block), r["version"], r["positions"], r["colors"], r["indices"]) if r else None
+
+    def version(self, block: tuple[int, int, int]) -> int:
+        """0 for a block that never had a mesh; a block that is gone keeps its last version."""
+        r = self._state().where(self._at(block)).select("version").first()
+        return r[0] if r else 0
+
+    def block_ids(self) -> DataFrame:
+        return self.meshes().select(*BLOCK)
+
+    def block_count(self) -> int:
+        return self.meshes().where(F.size("indices") > 0).count()
+
+    def total_tris(self) -> int:
+        return mesh.statistics(self.meshes()).first()["triangles"]
+
+    def mesh_bytes(self) -> int:
+        return mesh.statistics(self.meshes()).first()["bytes"]
+
+    def field_bytes(self) -> int:
+        """Bytes of the sums that the field keeps, eight a number."""
+        rows = self.field()
+        return rows.count() * 8 * len(rows.columns)
+
+
+class SurfaceMesher(Mesher):
     """The 3-D surface. orientation: "propagate" or "up"; the oracle is asked if there is a base."""
 
+    ROWS = "layer int, gx long, gy long, gz long, wd long, w long, wr long, wg long, wb long"
+
     def __init__(self, spark: SparkSession, folder: str, cfg: Config = Config(), orientation: str = "propagate", oracle: bool = True):
-        self.spark, self.folder, self.cfg, self.orientation, self.oracle = spark, folder.rstrip("/"), cfg, orientation, oracle
-        self.generation, self.layers, self.refined = 0, {}, set()  # layers: layer -> snapshot paths
-        self.dirty: DataFrame | None = None
-        self.state = spark.createDataFrame([], "bx long, by long, bz long, version long, digest string")
-        self.meshes: DataFrame | None = None
-
-    def _write(self, df: DataFrame, name: str) -> DataFrame:
-        self.generation += 1
-        path = f"{self.folder}/{name}-{self.generation:06d}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        super().__init__(spark, folder, cfg)
+        self.orientation, self.oracle = orientation, oracle
 
-    def prepare_bins(self, level: int, points: DataFrame) -> DataFrame:
+    def prepare_bins(self, points: DataFrame) -> DataFrame:
         """Bins as ingest accumulates them."""
         b = cut(normals.estimate(binning.bins(points, self.cfg), self.cfg))
-        base = self.field(BASE) if self.oracle and BASE in self.layers else None
+        base = self.field(BASE) if self.oracle and BASE in self.layers() else None
         return orient.orient(b, cut, base, self.orientation, self.cfg)
 
     def contributions(self, bins: DataFrame) -> DataFrame:
         return fields.field(bins, self.cfg)
 
-    def field(self, *layers: int) -> DataFrame:
-        """Rows of the given layers, or of all."""
-        out = self.spark.createDataFrame([], FIELD)
-        for layer, parts in self.layers.items():
-            if not layers or layer in layers:
-                for p in parts:
-                    out = out.unionByName(p)
-        return out
-
-    def _mark(self, rows: DataFrame) -> None:
-        marks = incremental.halo(rows, self.cfg)
-        self.dirty = cut(marks if self.dirty is None else incremental.marked(self.dirty, marks))
-
-    def ingest(self, seg: int, level: int, points: DataFrame) -> dict[str, int | bool]:
-        """points: seg, level and the columns of binning.aggregate, in whole millimetres."""
-        if seg in self.refined:
-            raise IngestError("AlreadyRefined" if level == REFINED else "PreviewAfterRefined")
-        mine = points.withColumns({"seg": F.lit(seg), "level": F.lit(level)})
-        b = cut(self.prepare_bins(level, mine))  # sees the base only, and before the old preview goes
-        rows = self._write(self.contributions(b), f"field-{seg}-{level}")
-        removed = seg in self.layers
-        if removed:
-            for p in self.layers.pop(seg):
-                self._mark(p)
-        self._mark(rows)
-        if level == REFINED:
-            self.refined.add(seg)
-            self.layers.setdefault(BASE, []).append(rows)
-        else:
-            self.layers[seg] = [rows]
-        return {"bins": b.count(), "removed_preview": removed}
+    def rows(self, points: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        sums = cut(binning.aggregate(points, self.cfg))
+        b = cut(self.prepare_bins(points))
+        every = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        trusted = binning.finalise(sums).where("fixed").count()
+        used = b.count()
+        return self.contributions(b), {"input_points": every[0], "bins": used, "normals_estimated": used - trusted, "bins_dropped": every[1] - used}
 
-    def pending_segments(self) -> list[int]:
-        return sorted(s for s in self.layers if s != BASE)
+    def halo(self, rows: DataFrame) -> DataFrame:
+        return incremental.halo(rows, self.cfg)
 
-    def dirty_count(self) -> int:
-        return 0 if self.dirty is None else self.dirty.count()
+    def layer_ranges(self) -> DataFrame:
+        """(layer, first and last voxel on each axis, voxels) of every layer."""
+        return self.field().groupBy("layer").agg(*(f(f"g{a}").alias(f"g{a}{i}") for a in "xyz" for i, f in enumerate((F.min, F.max))), F.count("*").alias("voxels"))
 
-    def _build(self, dirty: DataFrame) -> DataFrame:
-        """Meshes of the dirty blocks: voxels of these blocks and of a margin of one voxel around them are read."""
+    def build(self, dirty: DataFrame) -> DataFrame:
         dim, rows = self.cfg.block_dim, self.field()
         # a block reads its own voxels and one layer around: rows go to the blocks that read them, then leave again
         b = {f"b{a}": F.floor(F.col(f"g{a}") / float(dim)).cast("long") for a in "xyz"}
         near = incremental.halo_readers(rows.withColumns(b), dim)
-        voxels = near.join(dirty.select("bx", "by", "bz"), ["bx", "by", "bz"], "left_semi").select("gx", "gy", "gz").distinct()
-        seen = fields.observed(fields.layer_sum(rows.join(voxels, ["gx", "gy", "gz"], "left_semi")), self.cfg)
-        found = surface.quads(seen, surface.vertices(seen, self.cfg), self.cfg)
-        return surface.meshes(found.join(dirty.select("bx", "by", "bz"), ["bx", "by", "bz"], "left_semi"))
-
-    def extract(self) -> DataFrame:
-        """Changed blocks (bx, by, bz, version, positions, colors, indices); null arrays: the block is gone. Clears the dirty set."""
-        columns = ["positions", "colors", "indices"]
-        if self.dirty is None:
-            return self.spark.createDataFrame([], "bx long, by long, bz long, version long, positions array<long>, colors array<int>, indices array<int>")
-        built = cut(self._build(self.dirty))
-        after = cut(incremental.apply(self.state, incremental.digests(built), self.dirty))
-        changed = after.where("changed").join(built, incremental.BLOCK, "left").select(*incremental.BLOCK, "version", *columns)
-        old = None if self.meshes is None else self.meshes.join(changed.select(*incremental.BLOCK), incremental.BLOCK, "left_anti")
-        now = built.join(changed.select(*incremental.BLOCK), incremental.BLOCK, "left_semi")
-        self.meshes = self._write(now if old is None else old.unionByName(now), "meshes")
-        self.state = self._write(after.select(*incremental.BLOCK, "version", "digest"), "state")
-        self.dirty = None
-        return cut(changed.orderBy(*incremental.BLOCK))
-
-    def version(self, bx: int, by: int, bz: int) -> int:
-        row = self.state.where((F.col("bx") == bx) & (F.col("by") == by) & (F.col("bz") == bz)).select("version").first()
-        return row[0] if row else 0
-
-
-class HeightMesher:
-    """The 2.5-D surface: cells by layer in memory of the plan; extract returns the quads of all layers."""
-
-    def __init__(self, spark: SparkSession, cfg: Config = Config()):
-        self.spark, self.cfg, self.layers, self.refined = spark, cfg, {}, set()
-
-    def ingest(self, seg: int, level: int, points: DataFrame) -> None:
-        if seg in self.refined:
-            raise IngestError("AlreadyRefined" if level == REFINED else "PreviewAfterRefined")
-        mine = points.withColumns({"seg": F.lit(seg), "level": F.lit(level)})
-        cells = cut(height.cells(binning.bins(mine, self.cfg, trust="never"), self.cfg))
-        self.layers.pop((seg, PREVIEW), None)
-        if level == REFINED:
-            self.refined.add(seg)
-        self.layers[seg, level] = cells
-
-    def extract(self) -> DataFrame:
-        out = None
-        for c in self.layers.values():
-            out = c if out is None else out.unionByName(c)
-        if out is None:
-            raise ValueError("nothing was ingested")
-        return height.quads(height.surface(out, self.cfg), self.cfg)
+        voxels = near.join(dirty.select(*BLOCK), BLOCK, "left_semi").select("gx", "gy", "gz").distinct()
+        seen = cut(fields.observed(fields.layer_sum(rows.join(voxels, ["gx", "gy", "gz"], "left_semi")), self.cfg))
+        found = surface.quads(seen, surface.vertices(seen, self.cfg), self.cfg).join(dirty.select(*BLOCK), BLOCK, "left_semi")
+        if not self.cfg.simplify_error:
+            return surface.meshes(found)
+        found = cut(found)
+        seams = surface.seam(surface.block_vertices(found), self.cfg).select(*BLOCK, "idx")
+        return mesh.simplify(surface.meshes(found), seams, float(self.cfg.simplify_error))
+
+
+class HeightMesher(Mesher):
+    """The 2.5-D surface, in tiles (bx, by, 0): a tile reads its own cells and the first ones of the tiles after it."""
+
+    ROWS = "layer int, cx long, cy long, wz long, w long, wr long, wg long, wb long"
+
+    def rows(self, points: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+        b = cut(binning.bins(points, self.cfg, trust="never"))
+        every = b.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        return height.cells(b, self.cfg), {"input_points": every[0], "bins": every[1]}
+
+    @staticmethod
+    def _cells(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"gx": F.col("cx"), "gy": F.col("cy"), "gz": F.lit(0).cast("long")})
+
+    def halo(self, rows: DataFrame) -> DataFrame:
+        return incremental.halo(self._cells(rows), self.cfg, upper_only=True).where("bz = 0")
+
+    def build(self, dirty: DataFrame) -> DataFrame:
+        dim, rows = self.cfg.block_dim, self.field()
+        b = {f"b{a}": F.floor(F.col(f"g{a}") / float(dim)).cast("long") for a in "xyz"}
+        near = incremental.halo_readers(self._cells(rows).withColumns(b), dim)
+        cells = near.join(dirty.select(*BLOCK), BLOCK, "left_semi").select(F.col("gx").alias("cx"), F.col("gy").alias("cy")).distinct()
+        found = height.faces(height.surface(rows.join(cells, ["cx", "cy"], "left_semi"), self.cfg), self.cfg)
+        return surface.meshes(found.join(dirty.select(*BLOCK), BLOCK, "left_semi"))

@@ -166,6 +166,10 @@ QUADS = [*VERTS, ("quads", _quads("edges", "verts"))]
 USED = [*QUADS, ("used", _used("quads"))]
 HC = "SELECT CASE WHEN level = 1 THEN -1 ELSE seg END AS layer, floor(px / 200.0)::BIGINT AS cx, floor(py / 200.0)::BIGINT AS cy, sum(pz)::BIGINT AS wz, count(*)::BIGINT AS w, sum(r)::BIGINT AS wr, sum(g)::BIGINT AS wg, sum(b)::BIGINT AS wb FROM bins GROUP BY ALL"
 HQ = [*BN, ("hc", HC), ("hs", "SELECT cx, cy, sum(wz)::BIGINT / sum(w)::BIGINT AS z FROM hc GROUP BY ALL HAVING sum(w) >= 0.5"), ("hq", "SELECT a.cx, a.cy, a.z AS z00, b.z AS z10, c.z AS z11, d.z AS z01 FROM hs a JOIN hs b ON b.cx = a.cx + 1 AND b.cy = a.cy JOIN hs c ON c.cx = a.cx + 1 AND c.cy = a.cy + 1 JOIN hs d ON d.cx = a.cx AND d.cy = a.cy + 1 WHERE greatest(a.z, b.z, c.z, d.z) - least(a.z, b.z, c.z, d.z) <= 800")]
+#: Height cells with colours, and the quads of tiles in the form of the table quads.
+HCELL = "SELECT cx, cy, 0::BIGINT AS cz, cx * 200000 + 100000 AS x, cy * 200000 + 100000 AS y, round(z * 1000)::BIGINT AS z, h, " + ", ".join(f"least(greatest(round({c}), 0.0::DOUBLE), 255.0::DOUBLE)::INT AS {c}" for c in "rgb") + " FROM (SELECT cx, cy, sum(wz)::BIGINT / sum(w)::BIGINT AS z, sum(wz)::BIGINT / sum(w)::BIGINT AS h, " + ", ".join(f"sum(w{c})::BIGINT / sum(w)::BIGINT AS {c}" for c in "rgb") + " FROM hc GROUP BY cx, cy HAVING sum(w) >= 0.5)"
+HFACES = "SELECT floor(v0.cx / 8.0)::BIGINT AS bx, floor(v0.cy / 8.0)::BIGINT AS by, 0::BIGINT AS bz, v0.cx AS gx, v0.cy AS gy, 0::BIGINT AS gz, 0 AS axis, " + ", ".join(f"v{n}.{c} AS q{n}{c[-1] if c[0] == 'c' else '_' + c}" for n in range(4) for c in ("cx", "cy", "cz", "x", "y", "z", "r", "g", "b")) + " FROM hcell v0 " + " ".join(f"JOIN hcell v{n} ON v{n}.cx = v0.cx + {dx} AND v{n}.cy = v0.cy + {dy}" for n, dx, dy in ((1, 1, 0), (2, 1, 1), (3, 0, 1))) + " WHERE greatest(v0.h, v1.h, v2.h, v3.h) - least(v0.h, v1.h, v2.h, v3.h) <= 800"
+HF = [*BN, ("hc", HC), ("hcell", HCELL), ("hfaces", HFACES)]
 _tri = lambda vs, half: "SELECT floor(cx / 8.0)::BIGINT AS bx, floor(cy / 8.0)::BIGINT AS by, cx, cy, " + f"{half} AS half, " + ", ".join(f"((cx + {dx}) * 200 + 100) * 1000 AS x{i}, ((cy + {dy}) * 200 + 100) * 1000 AS y{i}, round({z} * 1000)::BIGINT AS z{i}" for i, (dx, dy, z) in enumerate(vs)) + " FROM hq"
 _a, _b, _c, _d = (0, 0, "z00"), (1, 0, "z10"), (1, 1, "z11"), (0, 1, "z01")
 
@@ -260,5 +264,8 @@ ORACLES: dict[str, str] = {
     "far_fraction": _with([*USED, ("mm", MM), ("pts", "SELECT DISTINCT x, y, z, floor(x / 100.0)::BIGINT AS kx, floor(y / 100.0)::BIGINT AS ky FROM points"),
                            ("hit", "SELECT DISTINCT v.x, v.y, v.z FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM mm)) v JOIN pts p ON p.kx = floor(v.x / 100.0)::BIGINT + v.dx AND p.ky = floor(v.y / 100.0)::BIGINT + v.dy AND (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y) + (p.z - v.z) * (p.z - v.z) <= 10000")],
                           "SELECT n AS vertices, n - h AS far, round((n - h) / n, 6) AS fraction FROM (SELECT (SELECT count(*) FROM mm)::BIGINT AS n, (SELECT count(*) FROM hit)::BIGINT AS h)"),
-    "stream_replay_final_field": _with([*E, ("live", "SELECT * FROM oriented WHERE (seg < 2 AND level = 1) OR (seg = 2 AND level = 0)"), ("field", _field(_splat("live")))], _summed("field")),
+    "stream_replay_final_field": _with([*E, ("live", "SELECT * FROM oriented WHERE level = 1"), ("field", _field(_splat("live")))], _summed("field")),
+    "stream_replay_meshes": _with([*E, *_branch("c", "level = 1")], "SELECT * FROM dig_c"),
+    "height_meshes": _with([*HF, ("hused", _used("hfaces")), ("dig", _digests("hfaces", "hused")), ("hn", MESH_STATS.replace("used", "hused").replace("quads", "hfaces"))],
+                           "SELECT hn.bx, hn.by, 0::BIGINT AS bz, vertices, triangles, digest FROM hn JOIN dig ON dig.bx = hn.bx AND dig.by = hn.by"),
 }

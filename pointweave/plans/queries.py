@@ -144,6 +144,13 @@ def q_height_triangles(spark, d):
     return t.select("bx", "by", "ord", *flat)
 
 
+def q_height_meshes(spark, d):
+    """Vertices, triangles and content of every tile's mesh, colours included."""
+    m = surface.meshes(height.faces(height.surface(height.cells(_bins(spark, d, "never"), CFG), CFG), CFG))
+    content = F.md5(F.concat_ws(";", *(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))) for c in ("positions", "colors", "indices"))))
+    return m.select("bx", "by", "bz", (F.size("positions") / 3).cast("long").alias("vertices"), (F.size("indices") / 3).cast("long").alias("triangles"), content.alias("digest"))
+
+
 def q_cell_vertices(spark, d):
     return surface.vertices(_seen(_field(spark, d)), CFG)
 
@@ -212,13 +219,7 @@ def q_extract_stats(spark, d):
     old = cut(incremental.digests(surface.meshes(_quads(fields.field(before, CFG)))))
     new = cut(incremental.digests(surface.meshes(_quads(fields.field(after, CFG)))))
     dirty = incremental.marked(*(incremental.halo(fields.field(b.where(f"seg = 1 and level = {k}"), CFG), CFG) for k in (0, 1)))
-    j = dirty.join(old.withColumnRenamed("digest", "o"), incremental.BLOCK, "left").join(new.withColumnRenamed("digest", "n"), incremental.BLOCK, "left")
-    same = F.col("o").eqNullSafe(F.col("n"))
-    return j.agg(
-        F.count("*").alias("reextracted"), F.sum(F.col("direct").cast("long")).alias("direct"), F.sum((~same).cast("long")).alias("updated"),
-        F.sum((same & F.col("direct") & F.col("n").isNotNull()).cast("long")).alias("unchanged_direct"),
-        F.sum((same & ~F.col("direct") & F.col("n").isNotNull()).cast("long")).alias("unchanged_neighbor"), F.sum((same & F.col("n").isNull()).cast("long")).alias("unchanged_empty"),
-    )
+    return incremental.extract_stats(dirty, old, new)
 
 
 def q_segment_admission(spark, d):
@@ -296,21 +297,35 @@ def q_simplified_stats(spark, d):
     return small.select("bx", "by", "bz", (F.size("positions") / 3).cast("long").alias("vertices"), (F.size("indices") / 3).cast("long").alias("triangles"))
 
 
-def q_stream_replay_final_field(spark, d):
-    """Streams previews and refined segments through the state tables; the field that is left equals the batch one."""
-    import os
+def _streamed(spark, d):
+    """The mesher after all six arrivals came as a stream, two a batch, with an extract after each batch; and its changes by batch."""
     import uuid
 
     from ..streaming.replay import replay
     from .mesher import SurfaceMesher
 
-    at = os.path.join(shared_folder(spark), f"replay-{uuid.uuid4().hex}")
+    at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     p = cut(point_view(spark, d))
-    for i, (seg, level) in enumerate([(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]):
+    for i, (seg, level) in enumerate([(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (2, 1)]):
         p.where((F.col("seg") == seg) & (F.col("level") == level)).coalesce(1).write.mode("append").parquet(f"{at}/in/{i}")
-    mesher = SurfaceMesher(spark, f"{at}/state", CFG, orientation="up", oracle=False)
-    replay(spark, f"{at}/in/*", mesher, f"{at}/checkpoint", extract=False)
-    return fields.layer_sum(mesher.field())
+    mesher, changes = SurfaceMesher(spark, f"{at}/state", CFG, orientation="up", oracle=False), []
+    replay(spark, f"{at}/in/*", mesher, f"{at}/checkpoint", lambda n, c: changes.append(cut(incremental.digests(c.where("positions is not null")).join(c.select("bx", "by", "bz", "version"), incremental.BLOCK, "right"))), files_per_batch=2)
+    return mesher, changes
+
+
+def q_stream_replay_final_field(spark, d):
+    """Streams previews and refined segments through the state tables; the field that is left equals the batch one."""
+    return fields.layer_sum(_streamed(spark, d)[0].field())
+
+
+def q_stream_replay_meshes(spark, d):
+    """What a consumer holds that applied the changes of every batch in turn: each block's last change, if it has a mesh."""
+    changes = _streamed(spark, d)[1]
+    every = changes[0]
+    for c in changes[1:]:
+        every = every.unionByName(c)
+    last = every.groupBy("bx", "by", "bz").agg(F.max_by("digest", "version").alias("digest"), F.max_by(F.col("digest").isNull(), "version").alias("gone"))
+    return last.where(~F.col("gone")).drop("gone")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n[2:]: f for n, f in list(globals().items()) if n.startswith("q_")}

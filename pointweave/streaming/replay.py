@@ -1,7 +1,7 @@
 """Streams of arrivals: points come in micro-batches, a batch being some (seg, level) arrivals complete.
 
-foreachBatch keeps the engine's state tables; it is idempotent by (seg, level), because a batch that comes again finds its
-refined segments admitted already, and a preview that comes again replaces itself.
+foreachBatch keeps the engine's state tables. The mesher's manifest holds, for the batch at work, which arrivals are in and whether
+its extract is done, so a batch that comes again after a failure, in this process or another, goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import PREVIEW
-from ..plans.mesher import IngestError, SurfaceMesher
+from ..plans.mesher import IngestError, Mesher
 
 POINTS = "seg int, level int, x long, y long, z long, nx long, ny long, nz long, r long, g long, b long"
 
@@ -22,35 +21,27 @@ def arrivals(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def handler(mesher: SurfaceMesher, changed: Callable[[int, DataFrame], None], rejected: Callable[[int, int, int, str], None], extract: bool = True) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: previews before refined ones, then one extract (if asked for); late arrivals go to `rejected`."""
+def handler(mesher: Mesher, changed: Callable[[int, DataFrame], None], rejected: Callable[[int, int, int, str], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: previews before refined ones, then one extract; late arrivals go to `rejected`. Both may see a batch twice."""
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             for r in batch.select("seg", "level").distinct().orderBy("level", "seg").collect():
                 try:
-                    mesher.ingest(r["seg"], r["level"], batch.where((F.col("seg") == r["seg"]) & (F.col("level") == r["level"])))
+                    mesher.ingest(r["seg"], r["level"], batch.where((F.col("seg") == r["seg"]) & (F.col("level") == r["level"])), number)
                 except IngestError as e:
                     rejected(number, r["seg"], r["level"], str(e))
-            if extract:
-                changed(number, mesher.extract())
+            changed(number, mesher.extract(number))
         finally:
             batch.unpersist()
 
     return run
 
 
-def replay(spark: SparkSession, folder: str, mesher: SurfaceMesher, checkpoint: str, changed: Callable[[int, DataFrame], None] = lambda n, d: None, extract: bool = True) -> list[tuple[int, int, int, str]]:
+def replay(spark: SparkSession, folder: str, mesher: Mesher, checkpoint: str, changed: Callable[[int, DataFrame], None] = lambda n, d: None, files_per_batch: int = 1) -> list[tuple[int, int, int, str]]:
     """Runs all files through the mesher and returns the rejected arrivals (batch, seg, level, reason)."""
     late: list[tuple[int, int, int, str]] = []
-    query = arrivals(spark, folder).writeStream.foreachBatch(handler(mesher, changed, lambda *x: late.append(x), extract)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = arrivals(spark, folder, files_per_batch).writeStream.foreachBatch(handler(mesher, changed, lambda *x: late.append(x))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return late
-
-
-def live_layers(events: DataFrame) -> DataFrame:
-    """The arrivals that count after a log of (pos, seg, level): the first refined one of a segment, else its last preview."""
-    refined = events.where(F.col("level") != PREVIEW).groupBy("seg").agg(F.min("pos").alias("pos")).withColumn("level", F.lit(1))
-    preview = events.where(F.col("level") == PREVIEW).groupBy("seg").agg(F.max("pos").alias("pos")).withColumn("level", F.lit(0))
-    return refined.unionByName(preview.join(refined, "seg", "left_anti"))

@@ -1,37 +1,47 @@
 """Normals of bins from the plane through their neighbours.
 
-The window join (Chebyshev distance of cells <= r) is 25 copies of a bin, one for each column (kx, ky) that sees it, and a
-range frame along kz: no pair of bins is ever made. Moments are whole numbers and are shifted to the bin's own position.
+The window (Chebyshev distance of cells <= r) is a box, so its sums are built axis by axis: a cell's partial sums go to the
+2 r + 1 cells along one axis and are added up there, three times over. No pair of bins is ever made, rows are narrow, and partial
+aggregation works. Moments are whole numbers relative to the cell, at any distance from the origin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NORMAL_ONE, Config
-from ..functions.columns import offsets
 from .bins import KEY
 
 MOMENTS = ("x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz")
 
 
+def _along(sums: DataFrame, axis: str, r: int, size: int) -> DataFrame:
+    """Sums (m, t..) per cell, relative to it, added up over the cells within r on one axis and moved to the cell they go to."""
+    to = sums.withColumn("o", F.explode(F.array(*(F.lit(i).cast("long") for i in range(-r, r + 1)))))
+    d, m = F.col("o") * -size, F.col("m")
+    moved = {f"k{axis}": F.col(f"k{axis}") + F.col("o"), f"t{axis}": F.col(f"t{axis}") + m * d}
+    for k in MOMENTS[3:]:
+        if k == axis * 2:
+            moved[f"t{k}"] = F.col(f"t{k}") + 2 * d * F.col(f"t{axis}") + m * d * d
+        elif axis in k:
+            moved[f"t{k}"] = F.col(f"t{k}") + d * F.col(f"t{k.replace(axis, '')}")
+    to = to.select(*(moved.get(c, F.col(c)).alias(c) for c in sums.columns))
+    return to.groupBy(*KEY).agg(F.sum("m").alias("m"), *(F.sum(f"t{k}").alias(f"t{k}") for k in MOMENTS))
+
+
 def moments(bins: DataFrame, cfg: Config = Config()) -> DataFrame:
     """bins and, over their window: m (bins), mx.., mxx.., sums of differences to the bin's position and of their products."""
-    r = cfg.normal_radius_bins
-    spread = bins.withColumn("o", F.explode(F.array(*offsets(-r, r, "dx", "dy")))).withColumns({"to_x": F.col("kx") + F.col("o.dx"), "to_y": F.col("ky") + F.col("o.dy")})
-    w = Window.partitionBy("seg", "level", "to_x", "to_y").orderBy("kz").rangeBetween(-r, r)
-    p = {c: F.col(f"p{c}") for c in "xyz"}
-    sums = {"m": F.count("*").over(w)}
-    sums |= {f"t{k}": F.sum(p[k] if len(k) == 1 else p[k[0]] * p[k[1]]).over(w) for k in MOMENTS}
-    # the copy in the bin's own column holds its window
-    own = spread.select("*", *(c.alias(k) for k, c in sums.items())).where((F.col("o.dx") == 0) & (F.col("o.dy") == 0))
+    own = {a: F.col(f"p{a}") - F.col(f"k{a}") * cfg.bin for a in "xyz"}
+    sums = bins.select(*KEY, F.lit(1).cast("long").alias("m"), *((own[k] if len(k) == 1 else own[k[0]] * own[k[1]]).alias(f"t{k}") for k in MOMENTS))
+    for a in "xyz":
+        sums = _along(sums, a, cfg.normal_radius_bins, cfg.bin)
     m = F.col("m")
-    out = {f"m{k}": F.col(f"t{k}") - m * p[k] for k in "xyz"}
+    out = {f"m{k}": F.col(f"t{k}") - m * own[k] for k in "xyz"}
     for k in MOMENTS[3:]:
         a, b = k
-        out[f"m{k}"] = F.col(f"t{k}") - p[a] * F.col(f"t{b}") - p[b] * F.col(f"t{a}") + m * p[a] * p[b]
-    return own.withColumns(out).drop("o", "to_x", "to_y", *(f"t{k}" for k in MOMENTS))
+        out[f"m{k}"] = F.col(f"t{k}") - own[a] * F.col(f"t{b}") - own[b] * F.col(f"t{a}") + m * own[a] * own[b]
+    return bins.join(sums, KEY).withColumns(out).drop(*(f"t{k}" for k in MOMENTS))
 
 
 def covariance() -> dict[str, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,33 @@ def weld(verts: DataFrame) -> DataFrame:
     return one.select("x", "y", "z", "f.r", "f.g", "f.b", "uses")
 
 
-def numbered(welded: DataFrame) -> DataFrame:
-    """welded with dense numbers from 0 by position. Counts by range partition come first, so no task sees all rows."""
+def numbered(welded: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """welded with dense numbers from 0 by position. Counts by range partition come first, so no task sees all rows.
+
+    cut keeps the partitions, so that both uses of them agree.
+    """
     ranged = welded.repartitionByRange("x", "y", "z").sortWithinPartitions("x", "y", "z").withColumn("p", F.spark_partition_id())
-    ids = ranged.withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ids = cut(ranged.withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     counts = ids.groupBy("p").agg(F.count("*").alias("n"))
     base = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return ids.join(base, "p").withColumn("idx", F.col("k") + F.col("base")).drop("p", "k", "base")
 
 
+def exploded(meshes: DataFrame) -> DataFrame:
+    """(bx, by, bz, idx, x, y, z, r, g, b): the vertices of meshes in arrays."""
+    at = lambda c, k: F.get(c, F.col("idx") * 3 + k)
+    each = meshes.where(F.size("positions") > 0).select(*BLOCK, "positions", "colors", F.explode(F.sequence(F.lit(0), (F.size("positions") / 3 - 1).cast("int"))).alias("idx"))
+    return each.select(*BLOCK, "idx", *(at("positions", k).alias(a) for k, a in enumerate("xyz")), *(at("colors", k).alias(c) for k, c in enumerate("rgb")))
+
+
+def welded_faces(meshes: DataFrame, verts: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(bx, by, bz, k, i0, i1, i2): each block's triangles with the numbers of the welded vertices; verts as from exploded."""
+    corner = meshes.where(F.size("indices") > 0).select(*BLOCK, F.posexplode("indices").alias("c", "idx"))
+    named = corner.join(verts.select(*BLOCK, "idx", "x", "y", "z"), [*BLOCK, "idx"]).join(numbers.select("x", "y", "z", F.col("idx").alias("to")), ["x", "y", "z"])
+    pick = [F.max(F.when(F.col("c") % 3 == i, F.col("to"))).alias(f"i{i}") for i in range(3)]
+    return named.groupBy(*BLOCK, F.floor(F.col("c") / 3).alias("k")).agg(*pick)
+
+
 def far(verts: DataFrame, points: DataFrame, distance: int) -> DataFrame:
     """Vertices (x, y, z in millimetres, columns kept) without a point within distance: a grid of that size and 27 cells."""
     c = lambda x: F.floor(F.col(x) / float(distance)).cast("long")

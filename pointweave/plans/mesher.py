@@ -104,7 +104,7 @@ class Mesher:
 
     def _last(self) -> dict[str, Any] | None:
         try:
-            found = self.spark.read.text(f"{self.folder}/manifest-*", wholetext=True).select(F.max_by("value", F.regexp_extract(F.input_file_name(), r"manifest-(\d+)", 1).cast("long"))).first()
+            found = self.spark.read.text(f"{self.folder}/manifest-*", wholetext=True).select(F.max_by("value", F.get_json_object("value", "$.generation").cast("long"))).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

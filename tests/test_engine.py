@@ -1,3 +1,6 @@
+import heapq
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,8 +8,8 @@ from pyspark.sql import functions as F
 from pointweave.config import NORMAL_ONE, Config
 from pointweave.operators import bins as binning
 from pointweave.operators import field as fields
-from pointweave.operators import incremental, mesh, normals, surface
-from pointweave.plans import queries
+from pointweave.operators import incremental, mesh, normals, orient, surface
+from pointweave.plans import job, queries
 from pointweave.plans.lineage import cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
 from pointweave.plans.points import point_view, stride
@@ -27,11 +30,11 @@ def mesh_of(spark, pts, cfg=CFG):
     return surface.quads(seen, surface.vertices(seen, cfg), cfg)
 
 
-def test_flat_plane_is_flat_and_faces_up(spark):
-    found = cut(mesh_of(spark, plane(spark, -2000, 2000, -2000, 2000, 30)))
-    assert 2 * found.count() > 300
+def test_a_level_sheet_gives_level_upward_quads(spark):
+    found = cut(mesh_of(spark, plane(spark, -1600, 1800, -2200, 1400, -70)))
+    assert found.count() > 150
     v = surface.block_vertices(found).toPandas()
-    assert (abs(v.z - 30_000) < 20_000).all() and set(v.r) == {200} and set(v.g) == {100} and set(v.b) == {50}
+    assert (abs(v.z + 70_000) < 20_000).all() and set(v.r) == {200} and set(v.g) == {100} and set(v.b) == {50}
     for q in found.collect():
         p = [np.array([q[k]["x"], q[k]["y"], q[k]["z"]], float) for k in ("q0", "q1", "q2", "q3")]
         assert np.cross(p[1] - p[0], p[2] - p[0])[2] > 0 and np.cross(p[2] - p[0], p[3] - p[0])[2] > 0
@@ -87,13 +90,13 @@ def test_preview_then_refined_is_refined_only(spark, tmp_path):
                 copy.pop(key, None)
             else:
                 copy[key] = (r["positions"], r["colors"], r["indices"])
-            assert r["version"] == one.version(*key)
+            assert r["version"] == one.version(key)
 
     one.ingest(1, 0, plane(spark, -1000, 1500, -1000, 1000, 400, 100))
     follow(one.extract())
     one.ingest(2, 0, plane(spark, 2000, 4000, -600, 600, 100))
     follow(one.extract())
-    assert one.ingest(1, 1, plane(spark, -1000, 2500, -1000, 1000, 0))["removed_preview"]
+    assert one.ingest(1, 1, plane(spark, -1000, 2500, -1000, 1000, 0)).removed_preview
     assert one.pending_segments() == [2] and one.dirty_count() > 0
     follow(one.extract())
     with pytest.raises(IngestError, match="AlreadyRefined"):
@@ -108,12 +111,82 @@ def test_preview_then_refined_is_refined_only(spark, tmp_path):
     assert copy == full
 
 
-def test_height_surface_replaces_previews(spark):
-    a, b = HeightMesher(spark, CFG), HeightMesher(spark, CFG)
-    a.ingest(0, 0, plane(spark, 0, 2000, 0, 2000, 1000))
-    a.ingest(0, 1, plane(spark, 0, 3000, 0, 2000, 0))
+def blocks(rows):
+    return {(r["bx"], r["by"], r["bz"]): (r["positions"], r["colors"], r["indices"]) for r in rows.collect()}
+
+
+def test_height_surface_replaces_previews(spark, tmp_path):
+    a, b = HeightMesher(spark, f"{tmp_path}/a", CFG), HeightMesher(spark, f"{tmp_path}/b", CFG)
+    copy = {}
+    for level, end, z in ((0, 2000, 1000), (1, 3000, 0)):
+        stats = a.ingest(0, level, plane(spark, 0, end, 0, 2000, z))
+        assert stats.input_points == end // 50 * 40 and stats.removed_preview == (level == 1) and stats.dirty_blocks == a.dirty_count() > 0
+        for r in a.extract().collect():
+            copy[r["bx"], r["by"], r["bz"]] = (r["positions"], r["colors"], r["indices"])
+            assert r["version"] == a.version((r["bx"], r["by"], r["bz"]))
     b.ingest(0, 1, plane(spark, 0, 3000, 0, 2000, 0))
-    assert sorted(map(str, a.extract().collect())) == sorted(map(str, b.extract().collect())) != []
+    want = blocks(b.extract())
+    assert {k: v for k, v in copy.items() if v[0]} == want == blocks(a.meshes()) != {}
+    for p, c, t in want.values():
+        assert set(p[2::3]) == {0} and c[:3] == [200, 100, 50] and max(t) == len(p) // 3 - 1
+    with pytest.raises(IngestError, match="PreviewAfterRefined"):
+        a.ingest(0, 0, plane(spark, 0, 100, 0, 100, 0))
+    assert a.extract().count() == 0 and a.extract_stats().reextracted == 0
+
+
+def test_height_steps_leave_gaps(spark, tmp_path):
+    """Cells whose heights differ by more than twice the radius have no quad between them."""
+    m = HeightMesher(spark, f"{tmp_path}/m", CFG)
+    m.ingest(0, 1, plane(spark, 0, 800, 0, 800, 0).unionByName(plane(spark, 800, 1600, 0, 800, 900)))
+    m.extract()
+    assert m.total_tris() == 2 * 2 * 3 * 3 and m.block_count() == 1
+    assert {tuple(r) for r in m.block_ids().collect()} == {(0, 0, 0)}
+
+
+def test_mesher_answers_about_blocks(spark, tmp_path):
+    m = SurfaceMesher(spark, f"{tmp_path}/m", CFG)
+    assert m.extract().count() == 0 and m.version((0, 0, 0)) == 0 and m.mesh((0, 0, 0)) is None and m.total_tris() == 0
+    stats = m.ingest(4, 0, plane(spark, 0, 2000, 0, 2000, 100))
+    assert stats.input_points == 1600 and stats.bins + stats.bins_dropped == 400 and not stats.removed_preview
+    changed = m.extract().collect()
+    e = m.extract_stats()
+    assert e.updated == len(changed) > 0 and e.reextracted == e.updated + e.unchanged_direct + e.unchanged_neighbor + e.unchanged_empty
+    first = changed[0]
+    got = m.mesh((first["bx"], first["by"], first["bz"]))
+    assert got.version == 1 and got.positions == first["positions"] and got.tri_count == len(first["indices"]) // 3
+    assert m.total_tris() == sum(len(r["indices"]) // 3 for r in changed)
+    assert m.mesh_bytes() == sum(m.mesh((r["bx"], r["by"], r["bz"])).heap_bytes for r in changed)
+    assert m.field_bytes() > 0 and m.layers() == m.pending_segments() == [4] and m.layer_ranges().first()["layer"] == 4
+
+
+def test_reopened_mesher_goes_on_and_batches_are_done_once(spark, tmp_path):
+    pts = {0: plane(spark, 0, 1500, 0, 1500, 300), 1: plane(spark, 0, 2000, 0, 1500, 0)}
+    one = SurfaceMesher(spark, f"{tmp_path}/one", CFG, "up", False)
+    one.ingest(0, 0, pts[0])
+    one.extract()
+    one.ingest(0, 1, pts[1])
+    one.extract()
+    a = SurfaceMesher(spark, f"{tmp_path}/two", CFG, "up", False)
+    a.ingest(0, 0, pts[0], batch=0)
+    first = blocks(a.extract(batch=0))
+    b = SurfaceMesher(spark, f"{tmp_path}/two", CFG, "up", False)  # as after a restart of the driver
+    assert b.pending_segments() == [0] and blocks(b.extract(batch=0)) == first
+    assert b.ingest(0, 1, pts[1], batch=1).removed_preview
+    c = SurfaceMesher(spark, f"{tmp_path}/two", CFG, "up", False)  # batch 1 comes again before its extract
+    assert c.ingest(0, 1, pts[1], batch=1).removed_preview and c.refined_segments() == [0]
+    last = blocks(c.extract(batch=1))
+    assert last and blocks(c.extract(batch=1)) == last
+    with pytest.raises(IngestError, match="AlreadyRefined"):
+        c.ingest(0, 1, pts[1], batch=2)
+    assert blocks(c.meshes()) == blocks(one.meshes())
+
+
+def test_extract_simplifies(spark, tmp_path):
+    fine, coarse = SurfaceMesher(spark, f"{tmp_path}/a", CFG, "up", False), SurfaceMesher(spark, f"{tmp_path}/b", Config(block_dim=8, simplify_error=20), "up", False)
+    for m in (fine, coarse):
+        m.ingest(0, 1, plane(spark, 0, 3000, 0, 3000, 700))
+        m.extract()
+    assert 0 < coarse.total_tris() < fine.total_tris() / 2
 
 
 def test_far_vertices_equal_all_pairs(spark):
@@ -149,6 +222,8 @@ def test_point_files(spark, tmp_path):
     head, body = rows.tobytes(), None
     del body
     good = open(f"{tmp_path}/r0_refined.ply", "rb").read()
+    assert ply.header(good + b"tail") == ply.header(good)
+    assert ply.header(good.replace(b"float n", b"float32 n").replace(b"uchar red", b"uint8 red"))[1] == 1003
     for bad in (b"plx" + good[3:], good[:-1], good.replace(b"float nx", b"float mx"), good.replace(b"binary_little", b"binary_biggg"), good.replace(b"vertex 1003", b"vertex 1004"), good.replace(b"element vertex", b"element points")):
         with pytest.raises(ValueError):
             ply.header(bad)
@@ -176,14 +251,13 @@ def test_halo_rule(spark):
 def test_block_record():
     raw = ply.block_bytes((1, -2, 3), 4, np.arange(3), np.array([1, 2, 3]), np.array([], np.uint32))
     assert raw[:4] == b"SLMB" and len(raw) == 4 + 28 + 12 + 4 and int.from_bytes(raw[24:28], "little") == 1
-    assert len(ply.mesh_bytes(np.zeros((2, 3)), np.zeros((2, 3)), np.zeros((1, 3), int)).split(b"end_header\n", 1)[1]) == 2 * 15 + 13
 
 
 def test_weld_counts_equal_positions(spark):
     rows = [(0, 0, 0, 0, 1, 2, 3, 9, 9, 9), (1, 0, 0, 0, 1, 2, 3, 7, 7, 7), (1, 0, 0, 1, 4, 5, 6, 1, 1, 1)]
     w = mesh.weld(spark.createDataFrame(rows, "bx long, by long, bz long, idx int, x long, y long, z long, r int, g int, b int"))
     assert {tuple(r) for r in w.collect()} == {(1, 2, 3, 9, 9, 9, 2), (4, 5, 6, 1, 1, 1, 1)}
-    assert sorted(r["idx"] for r in mesh.numbered(w).collect()) == [0, 1]
+    assert sorted(r["idx"] for r in mesh.numbered(w, cut).collect()) == [0, 1]
     assert w.agg(F.sum("uses")).first()[0] == 3
 
 
@@ -195,3 +269,141 @@ def test_far_fraction_query_looks_at_points_of_every_segment(spark):
     got = queries.q_far_fraction(spark, d).first()
     assert (got["vertices"], got["far"]) == (len(v), int((~near).sum()))
     assert got["fraction"] == round((~near).mean(), 6)
+
+
+def test_ranges_of_records_are_read_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "RANGE", 100)
+    rows = np.zeros(1003, ply.RECORD)
+    rows["x"], rows["b"] = np.arange(1003), np.arange(1003) % 200
+    ply.write_points(f"{tmp_path}/p.ply", rows)
+    for stride_ in (1, 7, 100, 2000):
+        got = sorted((r["ord"], r["x"], r["b"]) for r in ply.read_points(spark, f"{tmp_path}/p.ply", stride_).collect())
+        assert got == [(i, float(i), i % 200) for i in range(0, 1003, stride_)]
+
+
+def read_mesh(path):
+    raw = open(path, "rb").read()
+    head, body = raw.split(b"end_header\n", 1)
+    n, m = (int(x.split()[-1]) for x in head.decode().split("\n") if x.startswith("element"))
+    v = np.frombuffer(body, [("p", "<f4", 3), ("c", "u1", 3)], n)
+    t = np.frombuffer(body, [("n", "u1"), ("i", "<i4", 3)], m, n * 15)
+    assert len(body) == 15 * n + 13 * m and (t["n"] == 3).all()
+    return v, t["i"]
+
+
+def test_job_writes_meshes_blocks_and_metrics(spark, tmp_path):
+    def cloud(x0, x1, step):
+        x, y = np.meshgrid(np.arange(x0, x1, step), np.arange(0, 1.6, step))
+        rows = np.zeros(x.size, ply.RECORD)
+        rows["x"], rows["y"], rows["r"], rows["nz"] = x.ravel(), y.ravel(), 120, 1
+        return rows
+
+    for k in range(2):
+        ply.write_points(f"{tmp_path}/r{k}_refined.ply", cloud(k * 2, k * 2 + 2, 0.05))
+        ply.write_points(f"{tmp_path}/r{k}_preview_new.ply", cloud(k * 2, k * 2 + 2, 0.1))
+    out = f"{tmp_path}/out"
+    job.main(["--data", str(tmp_path), "--out", out, "--order", "realistic", "--block-dim", "8", "--far", "400"])
+    metrics = spark.read.option("header", True).csv(f"{out}/metrics", inferSchema=True).orderBy("step").collect()
+    assert [(r["segments"], r["levels"]) for r in metrics] == [("0", "preview"), ("0 1", "refined preview"), ("1", "refined")]
+    assert [r["replaced_preview"] for r in metrics] == [False, True, True] and all(r["far_fraction"] == 0 for r in metrics)
+    assert metrics[1]["input_points"] == 40 * 32 + 20 * 16
+    m = SurfaceMesher(spark, f"{out}/state", CFG)
+    rows = blocks(m.meshes())
+    v, t = read_mesh(f"{out}/mesh.ply")
+    assert len(t) == m.total_tris() == metrics[-1]["triangles"]
+    assert len({tuple(p) for p in v["p"].tolist()}) == len(v)
+    corner = lambda p, i: tuple(np.float32(np.array(p[3 * i : 3 * i + 3]) / 1e6))
+    want = sorted(tuple(corner(p, i) for i in idx[k : k + 3]) for p, _, idx in rows.values() for k in range(0, len(idx), 3))
+    assert sorted(tuple(tuple(v["p"][i]) for i in f) for f in t) == want
+    for (x, y, z), (p, c, idx) in rows.items():
+        raw = open(f"{out}/blocks/block_{x}_{y}_{z}.slmb", "rb").read()
+        assert raw == ply.block_bytes((x, y, z), m.version((x, y, z)), np.array(p) / 1e6, c, idx)
+
+
+def walls(spark):
+    """A floor with a box on it: its sides stand upright, and their normals have no sign yet."""
+    rows = []
+    for u in range(0, 1600, 50):
+        for w in range(0, 1600, 50):
+            rows += [(u - 1600, w, 0), (u, w, 800)]
+            if w < 800:
+                rows += [(0, u, w), (1600, u, w), (u, 0, w), (u, 1600, w)]
+    return spark.createDataFrame([(0, 1, *p, 0, 0, 0, 10, 20, 30) for p in rows], POINT)
+
+
+def test_signs_spread_as_in_a_single_heap(spark):
+    """Propagation against Prim's algorithm over all bins at once, with one heap and no components."""
+    b = cut(normals.estimate(binning.bins(walls(spark), CFG), CFG))
+    got = {(r["kx"], r["ky"], r["kz"]): (r["nx"], r["ny"], r["nz"]) for r in orient.orient(b, cut, cfg=CFG).collect()}
+    rows = {(r["kx"], r["ky"], r["kz"]): r for r in b.collect()}
+    unit = {k: np.array([r["nx"], r["ny"], r["nz"]]) / 1e6 for k, r in rows.items()}
+    at = {k: np.array([r["px"], r["py"], r["pz"]], float) for k, r in rows.items()}
+    need = {k for k in rows if abs(unit[k][2]) < CFG.seed_nz}
+    assert len(need) > 400 and len(rows) - len(need) > 400
+
+    def agreement(s, t):
+        e, v = at[t] - at[s], float(unit[s] @ unit[t])
+        if abs(v) < CFG.crease and e @ e > 0:
+            v -= 2 * float(unit[s] @ e) * float(unit[t] @ e) / float(e @ e)
+        return round(v, 6)
+
+    steps = [d for d in itertools.product(range(-2, 3), repeat=3) if any(d)]
+    near = {k: [t for d in steps if (t := (k[0] + d[0], k[1] + d[1], k[2] + d[2])) in rows] for k in need}
+    sign, heap = {}, []
+    for k in sorted(need):
+        seeds = [(-min(abs(agreement(k, t)), 1.0), t) for t in near[k] if t not in need]
+        if seeds:
+            cost, t = min(seeds)
+            heap.append((cost, k, agreement(k, t) < 0))
+    heapq.heapify(heap)
+    while len(sign) < len(need):
+        if not heap:
+            left = {k for k in need if k not in sign}
+            root = max(left, key=lambda k: (abs(rows[k]["nz"]), tuple(-x for x in k)))
+            heap.append((-2.0, root, rows[root]["nz"] < 0))
+        _, k, f = heapq.heappop(heap)
+        if k not in sign:
+            sign[k] = f
+            for t in near[k]:
+                if t in need and t not in sign:
+                    v = agreement(k, t)
+                    heapq.heappush(heap, (-min(abs(v), 1.0), t, v > 0 if f else v < 0))
+    for k, r in rows.items():
+        turn = -1 if sign.get(k) else 1
+        assert got[k] == tuple(turn * r[c] for c in ("nx", "ny", "nz")), k
+
+
+def test_box_sides_face_outwards(spark):
+    b = cut(normals.estimate(binning.bins(walls(spark), CFG), CFG))
+    out = 0
+    for r in orient.orient(b, cut, cfg=CFG).collect():
+        if r["kz"] in (3, 4) and 3 <= r["ky"] <= 12 and r["kx"] in (0, 16) and abs(r["nx"]) > 900_000:
+            assert (r["nx"] > 0) == (r["kx"] == 16)
+            out += 1
+    assert out > 10
+
+
+def test_components_equal_union_find(spark):
+    b = cut(normals.estimate(binning.bins(walls(spark).unionByName(plane(spark, 9000, 9500, 0, 500, 0)), CFG), CFG).withColumn("nz", F.lit(0).cast("long")).withColumn("fixed", F.lit(False)))
+    got = {(r["kx"], r["ky"], r["kz"]): (r["cx"], r["cy"], r["cz"]) for r in orient.components(cut(orient.edges(b, CFG)), b, cut).collect()}
+    to = {k: k for k in got}
+
+    def root(k):
+        while to[k] != k:
+            k = to[k]
+        return k
+
+    for k in got:
+        for d in itertools.product(range(-2, 3), repeat=3):
+            t = (k[0] + d[0], k[1] + d[1], k[2] + d[2])
+            if t in to and root(t) != root(k):
+                x, y = sorted((root(t), root(k)))
+                to[y] = x
+    assert got == {k: root(k) for k in got} and len(set(got.values())) > 1
+
+
+def test_moments_far_from_the_origin(spark):
+    far = 4_000_000_000
+    near, away = (cut(normals.estimate(binning.bins(walls(spark).withColumns({a: F.col(a) + d for a, d in (("x", s), ("y", s))}), CFG), CFG)) for s in (0, far))
+    rows = lambda d, s: sorted((r["kx"] - s // 100, r["ky"] - s // 100, r["kz"], r["nx"], r["ny"], r["nz"]) for r in d.collect())
+    assert rows(near, 0) == rows(away, far)

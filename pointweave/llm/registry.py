@@ -20,7 +20,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and novel secret spans of every text."""
     docs = table(session(spark), sf_dir, "documents")
-    return secrets.scan(docs, keep=["doc_id"]).drop("redacted")
+    return secrets.scan(docs, keep=["doc_id"], dictionary=secrets.learned(docs)).drop("redacted")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

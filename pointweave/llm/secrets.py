@@ -6,24 +6,31 @@ on any line, and overlaps no base span. NAME=value is split at its signs and sen
 given by : or = may be as short as 8. The body of a PEM private key is one token. It compresses the surrounding text with and without the token, with a dictionary of
 identifiers and code; a token that adds at least NOVELTY bytes for each of its characters is reported as kind `novel`.
 
+learned() extends the dictionary by the corpus: the WORDS commonest words and parts of identifiers (whole runs of 4 to 12
+letters, in OFTEN documents at least) that stand around sensitive words. Parts of random tokens are hardly ever such runs.
+
 Defined cases: null text counts as empty (no spans); equal rows give equal results; columns other than text are kept.
-One pass, no shuffle; memory is a few times one batch of texts.
+One pass, no shuffle (learning the dictionary is one more, which moves words and counts only); memory is a few times one
+batch of texts.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import sha
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY, CONTEXT, AROUND = 0.7, 40, 512
+WORDS, OFTEN, LEVEL = 4096, 3, 9
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
@@ -58,10 +65,46 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 000000000000000
 """
 
 
+#: Words, and parts of identifiers between other signs.
+_PART = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{4,12}(?![A-Za-z0-9])")
+
+
+def learned(docs: DataFrame, dictionary: str = DICTIONARY) -> str:
+    """dictionary, and before it the words that are common around sensitive words in docs, the commonest last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        names = ["word", "n"]
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                low = (text or "").encode().lower()
+                if any(w in low for w in _SENSITIVE_BYTES):
+                    found.update({w for a, z in _regions(text) for w in _PART.findall(text, max(0, a), max(0, z))})
+            if len(found) > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names)
+                found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names)
+
+    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    return "\n".join([*reversed(common), dictionary])
+
+
+def _regions(text: str) -> list[tuple[int, int]]:
+    """Where a token has a sensitive word among the AROUND characters before or after it, ascending; may begin before 0."""
+    out: list[tuple[int, int]] = []
+    for m in _SENSITIVE.finditer(text):
+        if out and m.end() - AROUND <= out[-1][1]:
+            out[-1] = (out[-1][0], m.start() + AROUND)
+        else:
+            out.append((m.end() - AROUND, m.start() + AROUND))
+    return out
+
+
 def _compressor(dictionary: str) -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(dictionary.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    primed.precompute_compress(level=3)
-    return zstandard.ZstdCompressor(dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
 def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
@@ -92,13 +135,7 @@ def _key_blocks(text: str) -> list[tuple[int, int]]:
 def novel_spans(text: str, low: bytes, base: list[tuple[int, int, int]], compressor: zstandard.ZstdCompressor, novelty: float = NOVELTY) -> list[tuple[int, int, int]]:
     if not any(w in low for w in _SENSITIVE_BYTES):
         return []
-    # where a token has a sensitive word among the AROUND characters before or after it
-    regions: list[list[int]] = []
-    for m in _SENSITIVE.finditer(text):
-        if regions and m.end() - AROUND <= regions[-1][1]:
-            regions[-1][1] = m.start() + AROUND
-        else:
-            regions.append([m.end() - AROUND, m.start() + AROUND])
+    regions = _regions(text)
     out, begins, ends = [], [], []  # begins, ends: what is taken by base spans and key blocks, ascending
     for s, _, e in base:
         if ends and s <= ends[-1]:

@@ -48,7 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by <SECRET>; n_chars follows."""
     session(spark)
     docs = _documents(docs)
-    clean = secrets.scan(docs, keep=["doc_id", "lang", "source"])
+    clean = secrets.scan(docs, keep=["doc_id", "lang", "source"], dictionary=secrets.learned(docs))
     return clean.select("doc_id", F.col("redacted").alias("text"), "lang", "source", F.length("redacted").cast("long").alias("n_chars"))
 
 

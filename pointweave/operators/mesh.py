@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import offsets
+from ..functions.columns import cell, offsets
+from .rank import ranked
 
 BLOCK = ["bx", "by", "bz"]
 
@@ -23,15 +24,8 @@ def weld(verts: DataFrame) -> DataFrame:
 
 
 def numbered(welded: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """welded with dense numbers from 0 by position. Counts by range partition come first, so no task sees all rows.
-
-    cut keeps the partitions, so that both uses of them agree.
-    """
-    ranged = welded.repartitionByRange("x", "y", "z").sortWithinPartitions("x", "y", "z").withColumn("p", F.spark_partition_id())
-    ids = cut(ranged.withColumn("k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = ids.groupBy("p").agg(F.count("*").alias("n"))
-    base = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return ids.join(base, "p").withColumn("idx", F.col("k") + F.col("base")).drop("p", "k", "base")
+    """welded with dense numbers from 0 by position."""
+    return ranked(welded, [], ["x", "y", "z"], cut)
 
 
 def exploded(meshes: DataFrame) -> DataFrame:
@@ -50,15 +44,21 @@ def welded_faces(meshes: DataFrame, verts: DataFrame, numbers: DataFrame) -> Dat
 
 
 def far(verts: DataFrame, points: DataFrame, distance: int) -> DataFrame:
-    """Vertices (x, y, z in millimetres, columns kept) without a point within distance: a grid of that size and 27 cells."""
-    c = lambda x: F.floor(F.col(x) / float(distance)).cast("long")
+    """Vertices (x, y, z in millimetres, columns kept) without a point within distance.
+
+    Points lie in cells twice as wide as distance, so what a vertex can reach lies in two cells an axis: eight copies of it. A
+    copy is done at its first near point.
+    """
+    side = 2 * distance
     grid = points.select(F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz")).distinct()
-    grid = grid.withColumns({f"k{a}": c(f"q{a}") for a in "xyz"})
+    grid = grid.withColumns({f"k{a}": cell(F.col(f"q{a}"), side) for a in "xyz"})
     named = verts.withColumn("vid", F.struct("x", "y", "z"))
-    near = named.select("vid").distinct().select("vid", "vid.*", F.explode(F.array(*offsets(-1, 1, "dx", "dy", "dz"))).alias("o"))
-    near = near.withColumns({f"k{a}": c(a) + F.col(f"o.d{a}") for a in "xyz"}).drop("o")
+    reach = named.select("vid").distinct().select("vid", "vid.*", F.explode(F.array(*offsets(0, 1, "dx", "dy", "dz"))).alias("o"))
+    reach = reach.withColumns({f"k{a}": cell(F.col(a) - distance, side) + F.col(f"o.d{a}") for a in "xyz"})
     d2 = sum(((F.col(a) - F.col(f"q{a}")) * (F.col(a) - F.col(f"q{a}")) for a in "xyz"), F.lit(0))
-    hit = near.join(grid, ["kx", "ky", "kz"]).where(d2 <= distance * distance).select("vid").distinct()
+    r, g = reach.alias("r"), grid.alias("g")
+    met = [F.col(f"r.k{a}") == F.col(f"g.k{a}") for a in "xyz"]
+    hit = r.join(g, met[0] & met[1] & met[2] & (d2 <= distance * distance), "left_semi").select("vid").distinct()
     return named.join(hit, "vid", "left_anti").drop("vid")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BASE, NORMAL_ONE, Config
-from ..functions.columns import offsets
+from ..functions.columns import cell, offsets
 from .bins import KEY
 
 GROUP = ["seg", "level"]
@@ -27,9 +27,12 @@ def edges(bins: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     r = cfg.orient_radius
     b = undecided(bins, cfg).withColumn("o", F.struct("kx", "ky", "kz", "px", "py", "pz", "nx", "ny", "nz"))
-    src = b.where("need").select(*GROUP, F.col("o").alias("s"), F.explode(F.array(*offsets(-r, r, "dx", "dy", "dz"))).alias("d")).where("d.dx <> 0 or d.dy <> 0 or d.dz <> 0")
-    src = src.select(*GROUP, "s", *((F.col(f"s.k{a}") + F.col(f"d.d{a}")).alias(f"k{a}") for a in "xyz"))
-    met = src.join(b.select(*KEY, F.col("o").alias("t"), F.col("need").alias("dst_need")), KEY)
+    # in blocks twice as wide as the radius a bin reaches two an axis, so eight copies of it meet all its neighbours once
+    src = b.where("need").select(*GROUP, F.col("o").alias("s"), F.explode(F.array(*offsets(0, 1, "dx", "dy", "dz"))).alias("d"))
+    src = src.select(*GROUP, "s", *((cell(F.col(f"s.k{a}") - r, 2 * r) + F.col(f"d.d{a}")).alias(f"b{a}") for a in "xyz"))
+    dst = b.select(*GROUP, F.col("o").alias("t"), F.col("need").alias("dst_need"), *(cell(F.col(f"k{a}"), 2 * r).alias(f"b{a}") for a in "xyz"))
+    gap = [F.abs(F.col(f"t.k{a}") - F.col(f"s.k{a}")) for a in "xyz"]
+    met = src.join(dst, [*GROUP, "bx", "by", "bz"]).where((gap[0] <= r) & (gap[1] <= r) & (gap[2] <= r) & (gap[0] + gap[1] + gap[2] > 0))
     one = float(NORMAL_ONE)
     n = {a: F.col(f"s.n{a}") / one for a in "xyz"}
     m = {a: F.col(f"t.n{a}") / one for a in "xyz"}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rank import ranked
+from .lineage import cut
+
 
 def point_view(spark: SparkSession, sf_dir: str, order: bool = False) -> DataFrame:
     """seg, level, x, y, z, nx, ny, nz (thousandths), r, g, b; with `order`, also ord within a segment and level."""
@@ -27,8 +30,8 @@ def point_view(spark: SparkSession, sf_dir: str, order: bool = False) -> DataFra
         *((F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) if order else ()),
     )
     if order:
-        w = Window.partitionBy("seg", "level").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-        out = out.withColumn("ord", (F.row_number().over(w) - 1).cast("long")).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+        out = ranked(out, ["seg", "level"], by, cut, "ord").drop(*by)
     return out
 
 

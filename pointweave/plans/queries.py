@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import REFINED, Config
@@ -12,6 +12,7 @@ from ..functions.columns import finite, valid_normal
 from ..operators import bins as binning
 from ..operators import field as fields
 from ..operators import height, incremental, mesh, normals, orient, surface
+from ..operators.rank import ranked
 from .lineage import cut, shared_folder
 from .points import point_view, stride, synthetic_preview
 
@@ -74,8 +75,8 @@ def q_bin_trusted_normals(spark, d):
 
 
 def q_bin_rank(spark, d):
-    w = Window.partitionBy("seg", "level").orderBy("kx", "ky", "kz")
-    return binning.aggregate(point_view(spark, d), CFG).select("seg", "level", "kx", "ky", "kz", (F.row_number().over(w) - 1).alias("idx"))
+    keys = binning.aggregate(point_view(spark, d), CFG).select(*binning.KEY)
+    return ranked(keys, ["seg", "level"], ["kx", "ky", "kz"], cut).withColumn("idx", F.col("idx").cast("int"))
 
 
 def q_neighbor_moments(spark, d):

@@ -9,6 +9,7 @@ from pointweave.config import NORMAL_ONE, Config
 from pointweave.operators import bins as binning
 from pointweave.operators import field as fields
 from pointweave.operators import incremental, mesh, normals, orient, surface
+from pointweave.operators.rank import ranked
 from pointweave.plans import job, queries
 from pointweave.plans.lineage import cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
@@ -407,3 +408,14 @@ def test_moments_far_from_the_origin(spark):
     near, away = (cut(normals.estimate(binning.bins(walls(spark).withColumns({a: F.col(a) + d for a, d in (("x", s), ("y", s))}), CFG), CFG)) for s in (0, far))
     rows = lambda d, s: sorted((r["kx"] - s // 100, r["ky"] - s // 100, r["kz"], r["nx"], r["ny"], r["nz"]) for r in d.collect())
     assert rows(near, 0) == rows(away, far)
+
+
+def test_ranks_are_dense_in_each_group(spark):
+    """A group over many ranges, small groups, a null one, and an empty table; without groups, too."""
+    keys = [("big", i * 7919 % 3001) for i in range(3001)] + [(None, i) for i in range(5)] + [(f"s{i}", 0) for i in range(20)]
+    rows = spark.createDataFrame(keys, "g string, k long").repartition(6)
+    got = ranked(rows, ["g"], ["k"], cut).collect()
+    assert len(got) == len(keys) and all(r["idx"] == r["k"] for r in got)
+    every = ranked(rows, [], ["g", "k"], cut, "n").orderBy(F.col("g").asc_nulls_first(), "k").collect()
+    assert [r["n"] for r in every] == list(range(len(keys)))
+    assert ranked(rows.where("false"), ["g"], ["k"], cut).count() == 0

@@ -31,7 +31,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class: the one with the least (doc_id, text), nulls last."""
+    """Keeps one document of each near-duplicate class: the one with the least (doc_id, hash of id and text), null ids last.
+
+    Rows that agree in id and text (null and empty alike) are one document: a text that is not null goes before null, then the
+    least lang, source and n_chars stand, nulls first.
+    """
     session(spark)
     docs = _documents(docs)
     # rows are told apart by id and text, since ids can repeat or be null
@@ -40,8 +44,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = neardup.classes(marked, keep=["mark"])
     best = classes.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("best")).select(F.col("best.mark").alias("mark"))
     kept = marked.join(cut(best), "mark", "left_semi")
-    # rows that agree in id and text are one document
-    return kept.dropDuplicates(["mark"]).select(*COLUMNS)
+    one = F.min(F.struct(F.col("text").isNull(), "lang", "source", "n_chars", "text")).alias("one")
+    return kept.groupBy("mark").agg(F.first("doc_id").alias("doc_id"), one).select("doc_id", "one.text", "one.lang", "one.source", "one.n_chars")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

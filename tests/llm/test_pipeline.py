@@ -61,6 +61,14 @@ def test_deduplicate_odd_rows(spark, odd):
     assert len({frozenset(bag(r["text"])) for r in got}) == len(got)
 
 
+def test_deduplicate_says_which_of_equal_rows_stays(spark):
+    rows = [(1, "a b c", "fr", "x", 5), (1, "a b c", "de", "y", 5), (1, "a b c", "de", "x", 5), (2, "", "en", "z", 0), (2, None, None, "a", None)]
+    for some in (rows, rows[::-1]):
+        got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+        assert got.columns == NAMES
+        assert sorted(map(tuple, got.collect())) == [(1, "a b c", "de", "x", 5), (2, "", "en", "z", 0)]
+
+
 def test_redact_replaces_every_span(spark):
     docs = table(session(spark), "/root/testdata/sf0.01", "documents")  # the smallest table with secrets
     rows = {r["doc_id"]: r for r in docs.collect()}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, WORD, bytes_of, cut
+from ._common import BLANKS, WORD, bytes_of, cut, lean
 
 REPEATS, MAX_SOURCES, CHUNKS = 3, 100_000, 1 << 14
 #: The schedule's points are whole numbers below CIRCLE; GOLDEN is half a step of (sqrt(5) - 1) / 2 of it.
@@ -60,7 +60,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
     source = docs.select("text", "doc_id", "source", F.xxhash64(F.lit("mix"), "doc_id", "text").alias("key"))
     schema = source.drop("text").schema.add("size", "long")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def targets(source_sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
@@ -189,4 +189,4 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
                 cols[text_at] = pa.array(texts, cols[text_at].type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import U64, chunks_of, cut, mix64, seeded, words_of
+from ._common import U64, chunks_of, cut, lean, mix64, seeded, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS, NEAR, BLOCK = 5, 0.8, 40, 6, 0.67, 1000
 _MIX = seeded(SHINGLE, 501) | U64(1)
@@ -142,7 +142,7 @@ def prints(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     schema = T.StructType.fromDDL("doc_id long, key binary, n long, bands array<long>, sketch binary")
     for f in source.schema.fields[2:]:
         schema = schema.add(f)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -168,8 +168,8 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([name[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["key", "bag"])
 
     # one text a key: copies are dropped where they are read, then where they meet
-    found = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(keyed, "key binary, text string")
-    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", "text").mapInArrow(run, "key binary, bag binary")
+    found = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(lean(keyed), "key binary, text string")
+    return found.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", "text").mapInArrow(lean(run), "key binary, bag binary")
 
 
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -191,7 +191,7 @@ def verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(on, pa.bool_()))
 
     left = pairs.join(bag.select(F.col("key").alias("a"), F.col("bag").alias("x")), "a")
-    return left.join(bag.select(F.col("key").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return left.join(bag.select(F.col("key").alias("b"), F.col("bag").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(links: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:

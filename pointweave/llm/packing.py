@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, lean
 
 CAPACITY, END, CHUNKS = 2048, 0, 1 << 14
 SPECIAL, RUN = "<|endoftext|>", 100_000
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.lit("pack"), "doc_id", "text").alias("key"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, key long")
+    return source.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, key long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -224,4 +224,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             off = offset[at] + place_in % per[at] * n
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names)
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

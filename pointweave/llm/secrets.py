@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sha
+from ._common import lean, sha
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVELTY, CONTEXT, AROUND = 0.7, 40, 512
@@ -85,7 +85,7 @@ def learned(docs: DataFrame, dictionary: str = DICTIONARY) -> str:
                 found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names)
 
-    counts = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
+    counts = docs.select("text").mapInArrow(lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
     common = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
     return "\n".join([*reversed(common), dictionary])
 
@@ -222,4 +222,4 @@ def scan(docs: DataFrame, keep: list[str] | None = None, dictionary: str = DICTI
                     col.append(v)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(c, pa.int64() if n[:2] == "n_" else pa.string()) for n, c in zip(new, rows, strict=True))], [*keep, *new])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

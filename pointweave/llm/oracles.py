@@ -64,4 +64,43 @@ reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r.a, s.b FROM reach r
 least AS (SELECT r.a AS node, min(d.doc_id) AS class_id FROM reach r JOIN d ON d.node = r.b GROUP BY r.a)
 SELECT d.doc_id, least.class_id FROM d JOIN least USING (node)"""
 
-ORACLES: dict[str, str] = {"op4_bagminhash_neardup": _NEAR, "op5_suffix_dedup": _BYTES, "op7_fm_dedup": _WORDS}
+#: One tree's levels, from nodes {0}_0 (g, i, n, h), and its runs.
+_TREE = """
+{0} AS (
+  SELECT g, 0 AS level, i, n, h FROM {0}_0
+  UNION ALL
+  SELECT g, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM {0} WHERE n > 1 GROUP BY g, level, i // 8, n),
+{0}_runs AS (SELECT g, level, i // 8 AS p, list(h ORDER BY i) AS run FROM {0} WHERE n > 1 GROUP BY g, level, i // 8)"""
+_TAG = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_TAG.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+# crc32 goes byte by byte through its table of 256 remainders
+_MERKLE = f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+low AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low_text FROM documents),
+d AS (
+  SELECT doc_id, lang AS g, {_LEAF.format("text")} AS h, {_LEAF.format("low_text")} AS low_h,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents JOIN low USING (doc_id), crc),
+below_0 AS (SELECT doc_id, g, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, h FROM d),
+{_TREE.format("below")},
+above_0 AS (SELECT g AS lang, '' AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM below WHERE n = 1),
+{_TREE.format("above")},
+steps AS (
+  SELECT doc_id, 0 AS part, level, run, (i >> (3 * level)) % 8 AS place FROM below_0 b JOIN below_runs r ON r.g IS NOT DISTINCT FROM b.g AND r.p = b.i >> (3 * level + 3)
+  UNION ALL
+  SELECT doc_id, 1, level, run, (a.i >> (3 * level)) % 8 FROM d JOIN above_0 a ON a.lang IS NOT DISTINCT FROM d.g JOIN above_runs r ON r.p = a.i >> (3 * level + 3)),
+halves AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, level) AS step, array_to_string(run[1 : place], '') AS l, array_to_string(run[place + 2 :], '') AS r FROM steps),
+folds AS (
+  SELECT doc_id, 0::BIGINT AS step, CASE WHEN crc % 3 = 0 THEN low_h ELSE h END AS h FROM d
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(l || f.h || r) FROM folds f JOIN halves s ON s.doc_id = f.doc_id AND s.step = f.step + 1),
+folded AS (SELECT doc_id, max_by(h, step) AS h FROM folds GROUP BY doc_id),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS p FROM halves GROUP BY doc_id),
+top AS (SELECT h FROM above WHERE n = 1)
+SELECT d.doc_id, d.h AS leaf, a.h AS subroot, top.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, f.h AS folded_root, f.h = top.h AS verified
+FROM d JOIN above_0 a ON a.lang IS NOT DISTINCT FROM d.g JOIN folded f USING (doc_id) LEFT JOIN proofs p USING (doc_id), top"""
+
+ORACLES: dict[str, str] = {"op4_bagminhash_neardup": _NEAR, "op5_suffix_dedup": _BYTES, "op7_fm_dedup": _WORDS, "op11_merkle_manifest": _MERKLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_dedup, langid, lcp, merkle, mixing, neardup, packing, quality, rules, secrets, suffix_dedup
+from . import fm_dedup, langid, lcp, merkle, mixing, neardup, packing, quality, rules, secrets, suffix_dedup, tokenfile
 from ._common import fold, session, table
 from .oracles import ORACLES as ORACLES
 
@@ -76,6 +76,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(session(spark), sf_dir, "documents"), fold(3) == 0)
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all ids, compressed by Re-Pair, into a new folder, and reads every document's back."""
+    return tokenfile.index(spark, tokenfile.write(table(session(spark), sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_secrets": op2_secrets,
@@ -88,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_token_ids": op13_token_ids,
 }

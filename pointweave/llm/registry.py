@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_dedup, langid, lcp, merkle, mixing, neardup, packing, quality, rules, secrets, suffix_dedup, tokenfile
-from ._common import fold, session, table
+from . import fm_dedup, langid, lcp, merkle, mixing, neardup, packing, quality, rules, secrets, suffix_dedup, tokenfile, upsert
+from ._common import fold, session, shared_folder, table
 from .oracles import ORACLES as ORACLES
 
 
@@ -76,6 +77,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(session(spark), sf_dir, "documents"), fold(3) == 0)
 
 
+def _crc(*columns: str):
+    return F.crc32(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).cast("binary"))
+
+
+def op12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes part of clients as sorted files, applies each client's last change to them, and reports on the files there are then."""
+    clients, changes = table(session(spark), sf_dir, "clients"), table(spark, sf_dir, "client_changes")
+    folder, size, sets = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}", upsert.per_file(clients.count()), ["source", "segment", "city", "balance"]
+    upsert.start(clients.where(_crc("client_id") % 7 > 3), "client_id", size, folder)
+
+    def decide(first):
+        h = F.crc32(first.cast("string").cast("binary")) % 12
+        return h <= 7, F.coalesce(F.col("__c.op") == "D", F.lit(False)) | (_crc("__c.change_id") % 8 < h)
+
+    last = upsert.latest(changes.select("client_id", "seq", "change_id", "op", *sets), "client_id", ["seq", "change_id"])
+    upsert.upsert(spark, folder, "client_id", size, last, sets, decide)
+    cents = F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)).cast("long")
+    return upsert.report(spark, folder, "client_id", {"cents": cents, "rows_crc": _crc("source", "segment", "city")})
+
+
 def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all ids, compressed by Re-Pair, into a new folder, and reads every document's back."""
     return tokenfile.index(spark, tokenfile.write(table(session(spark), sf_dir, "documents")))
@@ -93,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_upsert": op12_upsert,
     "op13_token_ids": op13_token_ids,
 }

@@ -50,41 +50,50 @@ def covariance() -> dict[str, Column]:
     return {k: F.col(f"m{k}") / m - (F.col(f"m{k[0]}") / m) * (F.col(f"m{k[1]}") / m) for k in MOMENTS[3:]}
 
 
+PAIRS = ("xx", "yy", "zz", "xy", "xz", "yz")
+#: Steps towards the least eigenvalue; how far below it to stay, as a part of the trace; squarings after that.
+STEPS, BELOW, SQUARINGS = 6, 1e-7, 5
+
+
+def _adjugate(m: dict[str, Column]) -> dict[str, Column]:
+    return {
+        "xx": m["yy"] * m["zz"] - m["yz"] * m["yz"], "yy": m["xx"] * m["zz"] - m["xz"] * m["xz"], "zz": m["xx"] * m["yy"] - m["xy"] * m["xy"],
+        "xy": m["xz"] * m["yz"] - m["xy"] * m["zz"], "xz": m["xy"] * m["yz"] - m["xz"] * m["yy"], "yz": m["xy"] * m["xz"] - m["yz"] * m["xx"],
+    }
+
+
 def smallest_eigenvector(frame: DataFrame, out: tuple[str, str, str]) -> DataFrame:
-    """Adds the unit eigenvector of the least eigenvalue of (xx, yy, zz, xy, xz, yz), z >= 0, in millionths.
+    """Adds the unit eigenvector of the least eigenvalue of the positive semidefinite (xx, yy, zz, xy, xz, yz), z >= 0, in millionths.
 
-    Trigonometric solution; the vector is the longest cross product of two rows of A - lambda I. Where all of these vanish
-    (equal eigenvalues), the vector is +z.
+    Laguerre's iteration climbs from 0 to the least root of the characteristic polynomial and never passes it. A little below, the
+    shifted matrix still is positive, and its adjugate has the wanted direction as that of its greatest eigenvalue, by
+    (l1 - shift) / (l2 - shift) before the next. Squaring the adjugate leaves that direction alone, and its greatest column is
+    taken. Where least eigenvalues coincide, what is left is a projection on their space, so its greatest column is a vector of
+    it: no case is apart but the zero matrix, which stands for equal eigenvalues. Of equal columns the one of z comes first.
     """
-    s = F.greatest(*(F.abs(F.col(k)) for k in ("xx", "yy", "zz", "xy", "xz", "yz")))
-    f = frame.withColumn("_s", F.when(s > 0, s).otherwise(1.0))
-    f = f.withColumns({f"_{k}": F.col(k) / F.col("_s") for k in ("xx", "yy", "zz", "xy", "xz", "yz")})
-    c = lambda k: F.col(f"_{k}")
-    f = f.withColumn("_q", (c("xx") + c("yy") + c("zz")) / 3)
-    q = F.col("_q")
-    off = c("xy") * c("xy") + c("xz") * c("xz") + c("yz") * c("yz")
-    f = f.withColumn("_p", F.sqrt(((c("xx") - q) * (c("xx") - q) + (c("yy") - q) * (c("yy") - q) + (c("zz") - q) * (c("zz") - q) + 2 * off) / 6))
-    p = F.col("_p")
-    bx, by, bz = c("xx") - q, c("yy") - q, c("zz") - q
-    det = bx * (by * bz - c("yz") * c("yz")) - c("xy") * (c("xy") * bz - c("yz") * c("xz")) + c("xz") * (c("xy") * c("yz") - by * c("xz"))
-    half = F.when(p > 1e-12, F.least(F.greatest(F.try_divide(det, 2 * p * p * p), F.lit(-1.0)), F.lit(1.0))).otherwise(0.0)
-    f = f.withColumn("_l", q + 2 * p * F.cos(F.acos(half) / 3 + F.lit(2.0943951023931953)))
-    lam = F.col("_l")
-    rows = [(c("xx") - lam, c("xy"), c("xz")), (c("xy"), c("yy") - lam, c("yz")), (c("xz"), c("yz"), c("zz") - lam)]
-    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
-    cand = {}
-    for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        for k, v in zip("xyz", cross(rows[a], rows[b]), strict=True):
-            cand[f"_c{i}{k}"] = v
-    f = f.withColumns(cand)
-    f = f.withColumns({f"_n{i}": F.col(f"_c{i}x") * F.col(f"_c{i}x") + F.col(f"_c{i}y") * F.col(f"_c{i}y") + F.col(f"_c{i}z") * F.col(f"_c{i}z") for i in range(3)})
-    best = F.greatest("_n0", "_n1", "_n2")
-    pick = {k: F.when(F.col("_n0") == best, F.col(f"_c0{k}")).when(F.col("_n1") == best, F.col(f"_c1{k}")).otherwise(F.col(f"_c2{k}")) for k in "xyz"}
-    f = f.withColumns({f"_v{k}": v for k, v in pick.items()} | {"_n": F.sqrt(best)})
-    sign = F.when(F.col("_vz") < 0, -1.0).otherwise(1.0)
-    flat = F.col("_n") > 1e-9
-    unit = {o: F.when(flat, F.round(sign * F.try_divide(F.col(f"_v{k}"), F.col("_n")) * NORMAL_ONE)).otherwise(float(NORMAL_ONE if k == "z" else 0)).cast("long") for o, k in zip(out, "xyz", strict=True)}
-    return f.withColumns(unit).drop(*(x for x in f.columns if x.startswith("_")))
+    names = {k: f"_{k}" for k in PAIRS}
+    c = {k: F.col(n) for k, n in names.items()}
+    trace = F.col("xx") + F.col("yy") + F.col("zz")
+    f = frame.withColumn("_t", F.when(trace > 0, trace).otherwise(1.0)).withColumns({n: F.col(k) / F.col("_t") for k, n in names.items()})
+    adj = _adjugate(c)
+    f = f.withColumns({"_e1": c["xx"] + c["yy"] + c["zz"], "_e2": adj["xx"] + adj["yy"] + adj["zz"], "_e3": c["xx"] * adj["xx"] + c["xy"] * adj["xy"] + c["xz"] * adj["xz"], "_l": F.lit(0.0)})
+    x = F.col("_l")
+    for _ in range(STEPS):
+        f = f.withColumns({"_p": ((F.col("_e1") - x) * x - F.col("_e2")) * x + F.col("_e3"), "_d": (3 * x - 2 * F.col("_e1")) * x + F.col("_e2"), "_c": 2 * F.col("_e1") - 6 * x})
+        under = 4 * F.col("_d") * F.col("_d") - 6 * F.col("_p") * F.col("_c")
+        root = F.when(under >= 0, F.sqrt(under))  # below zero by rounding only, at equal roots that are found
+        f = f.withColumn("_l", x + F.greatest(F.coalesce(F.try_divide(3 * F.col("_p"), F.col("_d") + root), F.lit(0.0)), F.lit(0.0)))
+    f = f.withColumns({names[k]: c[k] - (F.col("_l") - BELOW) for k in PAIRS[:3]})
+    f = f.withColumns({names[k]: v for k, v in _adjugate(c).items()})
+    f = f.withColumn("_n", c["xx"] + c["yy"] + c["zz"]).withColumns({n: F.col(n) / F.col("_n") for n in names.values()})
+    side = lambda i, j: c["".join(sorted(i + j))]
+    for _ in range(SQUARINGS):
+        f = f.withColumns({names[k]: side(k[0], "x") * side("x", k[1]) + side(k[0], "y") * side("y", k[1]) + side(k[0], "z") * side("z", k[1]) for k in PAIRS})
+    most = F.greatest(c["xx"], c["yy"], c["zz"])
+    f = f.withColumns({f"_v{k}": F.when(c["zz"] == most, side(k, "z")).when(c["yy"] == most, side(k, "y")).otherwise(side(k, "x")) for k in "xyz"})
+    size = F.sqrt(F.col("_vx") * F.col("_vx") + F.col("_vy") * F.col("_vy") + F.col("_vz") * F.col("_vz"))
+    f = f.withColumn("_n", F.when(F.col("_vz") < 0, -size).otherwise(size))
+    return f.withColumns({o: F.round(F.col(f"_v{k}") / F.col("_n") * NORMAL_ONE).cast("long") for o, k in zip(out, "xyz", strict=True)}).drop(*(n for n in f.columns if n.startswith("_")))
 
 
 def estimate(bins: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -43,26 +43,34 @@ MOMENTS = """SELECT a.seg, a.level, a.kx, a.ky, a.kz, any_value(a.n) AS n, any_v
  JOIN (SELECT *, kx AS jx FROM bins) c ON c.seg = a.seg AND c.level = a.level AND c.jx = a.kx + a.dx AND c.ky BETWEEN a.ky - 2 AND a.ky + 2 AND c.kz BETWEEN a.kz - 2 AND a.kz + 2
  GROUP BY a.seg, a.level, a.kx, a.ky, a.kz"""
 MOMENTS = MOMENTS.replace("a0, LATERAL (SELECT a0.*) a\n", "a\n")
-SCALED = """SELECT *, xx / s AS axx, yy / s AS ayy, zz / s AS azz, xy / s AS axy, xz / s AS axz, yz / s AS ayz FROM (
- SELECT *, CASE WHEN greatest(abs(xx), abs(yy), abs(zz), abs(xy), abs(xz), abs(yz)) > 0 THEN greatest(abs(xx), abs(yy), abs(zz), abs(xy), abs(xz), abs(yz)) ELSE 1.0::DOUBLE END AS s FROM (
- SELECT *, mxx / m - (mx / m) * (mx / m) AS xx, myy / m - (my / m) * (my / m) AS yy, mzz / m - (mz / m) * (mz / m) AS zz,
- mxy / m - (mx / m) * (my / m) AS xy, mxz / m - (mx / m) * (mz / m) AS xz, myz / m - (my / m) * (mz / m) AS yz FROM moments WHERE fixed OR m >= 6))"""
-SOLVED = """SELECT *, q + 2 * p * cos(acos(CASE WHEN p > 1e-12 THEN least(greatest(det / (2 * p * p * p), -1.0::DOUBLE), 1.0::DOUBLE) ELSE 0.0::DOUBLE END) / 3 + 2.0943951023931953::DOUBLE) AS l FROM (
- SELECT *, (axx - q) * ((ayy - q) * (azz - q) - ayz * ayz) - axy * (axy * (azz - q) - ayz * axz) + axz * (axy * ayz - (ayy - q) * axz) AS det FROM (
- SELECT *, sqrt(((axx - q) * (axx - q) + (ayy - q) * (ayy - q) + (azz - q) * (azz - q) + 2 * (axy * axy + axz * axz + ayz * ayz)) / 6) AS p FROM (
- SELECT *, (axx + ayy + azz) / 3 AS q FROM scaled)))"""
-CROSSED = """SELECT *, c0x * c0x + c0y * c0y + c0z * c0z AS n0, c1x * c1x + c1y * c1y + c1z * c1z AS n1, c2x * c2x + c2y * c2y + c2z * c2z AS n2 FROM (
- SELECT *, axy * ayz - axz * (ayy - l) AS c0x, axz * axy - (axx - l) * ayz AS c0y, (axx - l) * (ayy - l) - axy * axy AS c0z,
- axy * (azz - l) - axz * ayz AS c1x, axz * axz - (axx - l) * (azz - l) AS c1y, (axx - l) * ayz - axy * axz AS c1z,
- (ayy - l) * (azz - l) - ayz * ayz AS c2x, ayz * axz - axy * (azz - l) AS c2y, axy * ayz - (ayy - l) * axz AS c2z FROM solved)"""
-
+_KINDS = ("xx", "yy", "zz", "xy", "xz", "yz")
+_ADJ = {"xx": "{p}yy * {p}zz - {p}yz * {p}yz", "yy": "{p}xx * {p}zz - {p}xz * {p}xz", "zz": "{p}xx * {p}yy - {p}xy * {p}xy", "xy": "{p}xz * {p}yz - {p}xy * {p}zz", "xz": "{p}xy * {p}yz - {p}xz * {p}yy", "yz": "{p}xy * {p}xz - {p}yz * {p}xx"}
 
-def _component(k: str, flat: int) -> str:
-    return f"""CASE WHEN nn > 1e-9 THEN round((CASE WHEN vz < 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (v{k} / nn) * {NORMAL})::BIGINT ELSE {flat} END"""
 
-
-ORIENTED = f"""SELECT seg, level, kx, ky, kz, n, px, py, pz, coalesce(nx, {_component('x', 0)}) AS nx, coalesce(ny, {_component('y', 0)}) AS ny, coalesce(nz, {_component('z', NORMAL)}) AS nz, r, g, b, fixed FROM (
- SELECT *, sqrt(greatest(n0, n1, n2)) AS nn, {', '.join(f'CASE WHEN n0 = greatest(n0, n1, n2) THEN c0{k} WHEN n1 = greatest(n0, n1, n2) THEN c1{k} ELSE c2{k} END AS v{k}' for k in 'xyz')} FROM crossed)"""
+def _eigen() -> str:
+    """Least eigenvectors of covariances, step by step: e1..e3 of the polynomial, Laguerre's steps, the adjugate, its powers."""
+    adj = {k: v.format(p="a") for k, v in _ADJ.items()}
+    q = f"""SELECT *, axx + ayy + azz AS e1, ({adj['xx']}) + ({adj['yy']}) + ({adj['zz']}) AS e2, axx * ({adj['xx']}) + axy * ({adj['xy']}) + axz * ({adj['xz']}) AS e3, 0.0::DOUBLE AS l FROM (
+ SELECT *, {', '.join(f'{k} / t AS a{k}' for k in _KINDS)} FROM (SELECT *, CASE WHEN xx + yy + zz > 0 THEN xx + yy + zz ELSE 1.0::DOUBLE END AS t FROM (
+ SELECT *, mxx / m - (mx / m) * (mx / m) AS xx, myy / m - (my / m) * (my / m) AS yy, mzz / m - (mz / m) * (mz / m) AS zz,
+ mxy / m - (mx / m) * (my / m) AS xy, mxz / m - (mx / m) * (mz / m) AS xz, myz / m - (my / m) * (mz / m) AS yz FROM moments WHERE fixed OR m >= 6)))"""
+    for _ in range(6):
+        q = f"SELECT *, ((e1 - l) * l - e2) * l + e3 AS p, (3 * l - 2 * e1) * l + e2 AS d, 2 * e1 - 6 * l AS c FROM ({q})"
+        q = f"SELECT *, 4 * d * d - 6 * p * c AS h FROM ({q})"
+        q = f"SELECT * EXCLUDE (l, p, d, c, h), l + greatest(CASE WHEN h >= 0 AND d + sqrt(greatest(h, 0.0::DOUBLE)) <> 0 THEN 3 * p / (d + sqrt(greatest(h, 0.0::DOUBLE))) ELSE 0.0::DOUBLE END, 0.0::DOUBLE) AS l FROM ({q})"
+    q = f"SELECT *, {', '.join(f'a{k} - (l - 1e-7::DOUBLE) AS s{k}' for k in _KINDS[:3])}, {', '.join(f'a{k} AS s{k}' for k in _KINDS[3:])} FROM ({q})"
+    q = f"SELECT *, {', '.join(f'{v.format(p="s")} AS j{k}' for k, v in _ADJ.items())} FROM ({q})"
+    q = f"SELECT * EXCLUDE ({', '.join(f'j{k}' for k in _KINDS)}), {', '.join(f'j{k} / (jxx + jyy + jzz) AS b{k}' for k in _KINDS)} FROM ({q})"
+    side = lambda i, j: "b" + "".join(sorted(i + j))
+    for _ in range(5):
+        square = ", ".join(f"{' + '.join(f'{side(k[0], o)} * {side(o, k[1])}' for o in 'xyz')} AS n{k}" for k in _KINDS)
+        q = f"SELECT * EXCLUDE ({', '.join(f'n{k}' for k in _KINDS)}), {', '.join(f'n{k} AS b{k}' for k in _KINDS)} FROM (SELECT * EXCLUDE ({', '.join(f'b{k}' for k in _KINDS)}), {square} FROM ({q}))"
+    pick = ", ".join(f"CASE WHEN bzz = greatest(bxx, byy, bzz) THEN {side(k, 'z')} WHEN byy = greatest(bxx, byy, bzz) THEN {side(k, 'y')} ELSE {side(k, 'x')} END AS v{k}" for k in "xyz")
+    return f"SELECT *, CASE WHEN vz < 0 THEN -1 ELSE 1 END * sqrt(vx * vx + vy * vy + vz * vz) AS nn FROM (SELECT *, {pick} FROM ({q}))"
+
+
+SOLVED = _eigen()
+ORIENTED = f"""SELECT seg, level, kx, ky, kz, n, px, py, pz, {', '.join(f'coalesce(n{k}, round(v{k} / nn * {NORMAL})::BIGINT) AS n{k}' for k in 'xyz')}, r, g, b, fixed FROM solved"""
 
 
 def _splat(source: str) -> str:
@@ -158,7 +166,7 @@ P = [("points", POINTS)]
 S = [*P, ("sums", SUMS)]
 B = [*S, ("bins", _bins("level = 1"))]
 BN = [*S, ("bins", _bins("false"))]
-E = [*B, ("moments", MOMENTS), ("scaled", SCALED), ("solved", SOLVED), ("crossed", CROSSED), ("oriented", ORIENTED)]
+E = [*B, ("moments", MOMENTS), ("solved", SOLVED), ("oriented", ORIENTED)]
 FIELD = [*E, ("field", _field(_splat("oriented")))]
 SEEN = [*FIELD, ("seen", _seen("field"))]
 VERTS = [*SEEN, ("verts", _vertices("seen")), ("edges", _edges("seen"))]

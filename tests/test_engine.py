@@ -80,6 +80,27 @@ def test_smallest_eigenvector(spark):
         assert np.allclose([r["ex"] / NORMAL_ONE, r["ey"] / NORMAL_ONE, r["ez"] / NORMAL_ONE], [r["wx"], r["wy"], r["wz"]], atol=1e-5)
 
 
+def test_least_eigenvectors_of_degenerate_planes(spark):
+    """Equal, nearly equal and vanishing eigenvalues, at many scales: the vector's quotient is the least eigenvalue."""
+    rng = np.random.default_rng(11)
+    rows, least = [], []
+    for i in range(400):
+        q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+        gap = 10.0 ** rng.integers(-9, 1)
+        values = np.array([(0, 0, 1), (0, 1, 1), (1, 1, 1), (0.2, 0.2 + gap, 1), (0, gap, 1), (0.5, 1, 1 + gap), (gap, gap, 1), (0, 0, 0)][i % 8]) * 10.0 ** rng.integers(-6, 7)
+        m = q @ np.diag(values) @ q.T
+        rows.append((i, *m[[0, 1, 2, 0, 0, 1], [0, 1, 2, 1, 2, 2]].tolist()))
+        least.append((m, values))
+    for r in normals.smallest_eigenvector(spark.createDataFrame(rows, "i int, xx double, yy double, zz double, xy double, xz double, yz double"), ("ex", "ey", "ez")).collect():
+        m, values = least[r["i"]]
+        v = np.array([r["ex"], r["ey"], r["ez"]]) / NORMAL_ONE
+        assert abs(v @ v - 1) < 1e-5 and v[2] >= 0
+        assert v @ m @ v - values[0] <= 1e-6 * values.sum(), (values, v)
+        if values[1] - values[0] >= 1e-4 * values.sum() > 0:
+            w = np.linalg.eigh(m)[1][:, 0]
+            assert abs(abs(v @ w) - 1) < 1e-9 + 2e-6, (values, v, w)
+
+
 def test_preview_then_refined_is_refined_only(spark, tmp_path):
     one, two = SurfaceMesher(spark, f"{tmp_path}/a", CFG), SurfaceMesher(spark, f"{tmp_path}/b", CFG)
     copy = {}

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BASE, NORMAL_ONE, Config
 from ..functions.columns import cell, offsets
+from ..plans.lineage import Scratch
 from .bins import KEY
+from .rank import ranked
 
 GROUP = ["seg", "level"]
 
@@ -71,36 +70,85 @@ def components(graph: DataFrame, nodes: DataFrame, cut) -> DataFrame:  # noqa: A
         labels = new.select(*GROUP, "key", "label")
 
 
-def propagate(bins: DataFrame, graph: DataFrame, found: DataFrame) -> DataFrame:
+ROOT = -1  # stands for all seeds
+
+
+def _least(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """The first link in (cost, lo, hi) for each value of by."""
+    return rows.groupBy(*by).agg(F.min(F.struct("cost", "lo", "hi", *more)).alias("e")).select(*by, "e.*")
+
+
+def _odd(*signs: str) -> Column:
+    out = F.lit(False)
+    for s in signs:
+        out = out != F.coalesce(F.col(s), F.lit(False))
+    return out
+
+
+def _shortened(hooks: DataFrame, keep) -> DataFrame:  # noqa: ANN001
+    """hooks (a, p, odd) with every a pointing to the end of its chain; ends point to themselves or are not in a. odd adds up on the way."""
+    while True:
+        for _ in range(2):
+            up = hooks.select(F.col("a").alias("p"), F.col("p").alias("pp"), F.col("odd").alias("up"))
+            hooks = hooks.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), _odd("odd", "up").alias("odd"), (F.coalesce("pp", "p") == F.col("p")).alias("done"))
+        hooks = keep(hooks)
+        if hooks.where(~F.col("done")).isEmpty():
+            return hooks.drop("done")
+
+
+def spanning_signs(links: DataFrame, seeds: DataFrame, keep) -> DataFrame:  # noqa: ANN001
+    """(a, top, odd): the sign of every linked a against its tree's top: ROOT, or a member of the tree if it has no seed.
+
+    links (a, b, cost, lo, hi, odd): undirected, both ways round; odd: the two differ in sign; (cost, lo, hi) orders links and names them.
+    seeds (a, cost, lo, hi, odd): links to ROOT, one for an a at most. The tree is the minimum spanning tree in that order, by
+    Boruvka's rounds: every fragment chooses its first link, the fragments that so hang together become one, parallel links
+    between two fragments are one from then on. Fragments halve with each round at least, so all rounds together move about as
+    many rows as the first; what a fragment's members are to it is put together at the end, from the last round to the first.
+    What reaches a seed is decided: its links are seeds for the others, so no fragment grows around ROOT. keep writes a table and
+    reads it (plans.lineage.Scratch).
+    """
+    rounds = []
+    while not links.isEmpty():
+        picks = keep(_least(links.unionByName(seeds.withColumn("b", F.lit(ROOT).cast("long"))), ["a"], "b", "odd"))
+        back = picks.select(F.col("a").alias("b"), F.col("b").alias("back"))
+        # of two that choose each other (the same link, as links are in strict order) the smaller one stays
+        stays = F.coalesce((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.lit(False))
+        hooks = picks.join(back, "b", "left").select("a", F.when(stays, F.col("a")).otherwise(F.col("b")).alias("p"), (F.col("odd") & ~stays).alias("odd"))
+        to = _shortened(hooks, keep)
+        rounds.append(to)
+        here, there = (to.select(F.col("a").alias(x), F.col("p").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+        moved = links.join(here, "a").join(there, "b").where((F.col("na") != F.col("nb")) & (F.col("na") != ROOT))
+        moved = keep(_least(moved.select(F.col("na").alias("a"), F.col("nb").alias("b"), "cost", "lo", "hi", _odd("odd", "oa", "ob").alias("odd")), ["a", "b"], "odd"))
+        held = seeds.join(here, "a").where(F.col("na") != ROOT).select(F.col("na").alias("a"), "cost", "lo", "hi", _odd("odd", "oa").alias("odd"))
+        seeds = keep(_least(held.unionByName(moved.where(F.col("b") == ROOT).drop("b")), ["a"], "odd"))
+        links = moved.where(F.col("b") != ROOT)
+    found = seeds.select("a", F.lit(ROOT).cast("long").alias("top"), "odd")
+    for to in reversed(rounds):
+        above = found.select(F.col("a").alias("p"), "top", F.col("odd").alias("up"))
+        found = keep(to.join(above, "p", "left").select("a", F.coalesce("top", "p").alias("top"), _odd("odd", "up").alias("odd")))
+    return found
+
+
+def propagate(bins: DataFrame, graph: DataFrame, cut, cfg: Config = Config()) -> DataFrame:  # noqa: ANN001
     """(seg, level, kx, ky, kz, flip) for every undecided bin.
 
-    Within a component a maximum spanning forest grows from its seeds, most trusted edge first (least cell of equals); a
-    component without seed starts at its steepest bin, made to point up. It is sequential by nature: a group per component.
+    Signs follow a maximum spanning forest that grows from the seeds, most trusted link first (then the one whose bins come first in
+    cell order, seeds before all). A component without a seed starts at its steepest bin, made to point up. Links of no agreement at
+    all (v = 0) carry no sign and link nothing.
     """
-    seeds = seed_edges(graph).select(*GROUP, *(F.col(f"sk{a}").alias(f"k{a}") for a in "xyz"), F.col("v").alias("seed"))
-    inner = graph.where("dst_need").select(*GROUP, *(F.col(f"sk{a}").alias(f"k{a}") for a in "xyz"), F.struct("tkx", "tky", "tkz", "v").alias("e")).groupBy(*KEY).agg(F.sort_array(F.collect_list("e")).alias("edges"))
-    rows = found.join(seeds, KEY, "left").join(inner, KEY, "left").join(bins.select(*KEY, "nz"), KEY)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kx", "ky", "kz"], ignore_index=True)
-        at = {k: i for i, k in enumerate(zip(pdf.kx, pdf.ky, pdf.kz, strict=True))}
-        links = [[] if e is None else [(at[x["tkx"], x["tky"], x["tkz"]], x["v"]) for x in e] for e in pdf.edges]
-        flip: list[bool | None] = [None] * len(pdf)
-        heap = [(-min(abs(v), 1.0), i, v < 0) for i, v in enumerate(pdf.seed) if v == v and v is not None]
-        if not heap:
-            root = max(range(len(pdf)), key=lambda i: (abs(pdf.nz[i]), -i))
-            heap = [(-2.0, root, bool(pdf.nz[root] < 0))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, f = heapq.heappop(heap)
-            if flip[i] is None:
-                flip[i] = f
-                for j, v in links[i]:
-                    if flip[j] is None:
-                        heapq.heappush(heap, (-min(abs(v), 1.0), j, v > 0 if f else v < 0))
-        return pdf[["seg", "level", "kx", "ky", "kz"]].assign(flip=[bool(f) for f in flip])
-
-    return rows.groupBy(*GROUP, "cx", "cy", "cz").applyInPandas(grow, "seg int, level int, kx long, ky long, kz long, flip boolean")
+    nodes = cut(ranked(undecided(bins, cfg).where("need").select(*KEY, "nz"), [], KEY, cut, "id"))
+    src, dst = (nodes.select(*GROUP, *(F.col(f"k{x}").alias(f"{e}k{x}") for x in "xyz"), F.col("id").alias(i)) for e, i in (("s", "a"), ("t", "b")))
+    cost = (-F.least(F.abs("v"), F.lit(1.0))).alias("cost")
+    inner = graph.where(F.col("dst_need") & (F.col("v") != 0)).join(src, [*GROUP, "skx", "sky", "skz"]).join(dst, [*GROUP, "tkx", "tky", "tkz"])
+    links = cut(inner.select("a", "b", cost, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("v") < 0).alias("odd")))
+    seeds = seed_edges(graph.where(F.col("v") != 0)).join(src, [*GROUP, "skx", "sky", "skz"])
+    seeds = cut(seeds.select("a", cost, F.lit(ROOT).cast("long").alias("lo"), F.col("a").alias("hi"), (F.col("v") < 0).alias("odd")))
+    with Scratch(bins.sparkSession) as scratch:
+        found = cut(spanning_signs(links, seeds, scratch.keep).withColumnRenamed("a", "id"))
+    signs = nodes.join(found, "id", "left").withColumn("top", F.coalesce("top", "id"))
+    free = signs.where(F.col("top") != ROOT).groupBy("top").agg(F.max(F.struct(F.abs("nz").alias("h"), (-F.col("id")).alias("first"), (F.col("nz") < 0).alias("down"), "odd")).alias("start"))
+    free = free.select("top", _odd("start.down", "start.odd").alias("turn"))
+    return signs.join(free, "top", "left").select(*KEY, _odd("odd", "turn").alias("flip"))
 
 
 def flipped(bins: DataFrame, flips: DataFrame) -> DataFrame:
@@ -145,5 +193,4 @@ def orient(bins: DataFrame, cut, field: DataFrame | None = None, mode: str = "pr
         bins = cut(apply_oracle(bins, base_agreement(bins, field, cfg), cfg))
     if mode == "up":
         return bins
-    graph = cut(edges(bins, cfg))
-    return flipped(bins, propagate(bins, graph, components(graph, bins, cut)))
+    return flipped(bins, propagate(bins, cut(edges(bins, cfg)), cut, cfg))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,27 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of a loop, written to a folder of their own that is deleted at the end.
+
+    A table that was checkpointed keeps the estimate of its size. Where tables are joined round after round, estimates multiply until
+    planning never ends; of a written table the plan knows the true size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,7 @@ from pointweave.operators import field as fields
 from pointweave.operators import incremental, mesh, normals, orient, surface
 from pointweave.operators.rank import ranked
 from pointweave.plans import job, queries
-from pointweave.plans.lineage import cut
+from pointweave.plans.lineage import Scratch, cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
 from pointweave.plans.points import point_view, stride
 from pointweave.sources import ply
@@ -395,6 +395,75 @@ def test_signs_spread_as_in_a_single_heap(spark):
         assert got[k] == tuple(turn * r[c] for c in ("nx", "ny", "nz")), k
 
 
+def kruskal(links, seeds, nodes):
+    """{node: (top, odd)}: -1 and the sign against the seeds, or a member of the tree and the sign against it; links (lo, hi, cost, odd)."""
+    to = {n: (n, False) for n in (*nodes, -1)}
+
+    def root(n):
+        odd = False
+        while to[n][0] != n:
+            n, o = to[n]
+            odd ^= o
+        return n, odd
+
+    for _, lo, hi, odd in sorted([(c, lo, hi, odd) for lo, hi, c, odd in links] + [(c, -1, a, odd) for a, c, odd in seeds]):
+        (x, ox), (y, oy) = root(lo), root(hi)
+        if x != y:
+            x, y = min(x, y), max(x, y)
+            to[y] = (x, ox ^ oy ^ odd)
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spanning_signs_equal_kruskal(spark, seed):
+    """Ties, cycles of odd sign, trees without a seed, a long chain, a node with many links."""
+    rng = np.random.default_rng(seed)
+    n = 240
+    pairs = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 120, (260, 2)).tolist() if a != b} | {(a, a + 1) for a in range(120, 179)} | {(180, a) for a in range(181, 210)} | {(a, a + 1) for a in range(211, 239, 2)}
+    links = [(a, b, -float(rng.choice([0.25, 0.5, 1.0])) if a < 120 or a >= 180 else -1 + a / 1000, bool(rng.random() < 0.4)) for a, b in sorted(pairs)]
+    seeds = [(a, -float(rng.choice([0.5, 1.0])), bool(rng.random() < 0.5)) for a in ([3, 50, 51, 150, 180], [], [7])[seed]]
+    both = [(*(e if turn else e[::-1]), c, *e, odd) for *e, c, odd in links for turn in (True, False)]
+    with Scratch(spark) as scratch:
+        rows = orient.spanning_signs(spark.createDataFrame(both, "a long, b long, cost double, lo long, hi long, odd boolean"), spark.createDataFrame([(a, c, -1, a, odd) for a, c, odd in seeds], "a long, cost double, lo long, hi long, odd boolean"), scratch.keep).collect()
+    got, want = {r["a"]: (r["top"], r["odd"]) for r in rows}, kruskal(links, seeds, range(n))
+    assert set(got) == {x for e in pairs for x in e} | {a for a, *_ in seeds}
+    for a, (top, odd) in got.items():
+        if want[a][0] == -1:
+            assert (top, odd) == want[a]
+        else:  # the same tree, and signs agree against its top
+            assert top != -1 and want[top][0] == want[a][0] and odd == want[a][1] ^ want[top][1]
+
+
+def test_propagated_normals_query_equals_kruskal(spark):
+    d = "/root/testdata/sf0.001"
+    b = cut(queries._oriented(spark, d).withColumn("fixed", F.col("fixed") & (F.col("kx") % 5 == 0)).withColumn("nz", F.least("nz", F.lit(699_999).cast("long"))))
+    got = {tuple(r[c] for c in binning.KEY): tuple(r[c] for c in ("nx", "ny", "nz")) for r in queries.q_propagated_normals(spark, d).collect()}
+    rows = {tuple(r[c] for c in binning.KEY): r for r in b.collect()}
+    need = sorted(k for k, r in rows.items() if not r["fixed"])
+    ident = {k: i for i, k in enumerate(need)}
+    links, best = [], {}
+    for r in orient.edges(b, queries.CFG).where("v <> 0").collect():
+        s, t = ((r["seg"], r["level"], *(r[f"{e}k{x}"] for x in "xyz")) for e in "st")
+        cost = -min(abs(r["v"]), 1.0)
+        if t not in ident:
+            best[s] = min(best.get(s, (1.0,)), (cost, t, r["v"] < 0))
+        elif s < t:
+            links.append((ident[s], ident[t], cost, r["v"] < 0))
+    found = kruskal(links, [(ident[s], c, odd) for s, (c, _, odd) in best.items()], range(len(need)))
+    trees = {}
+    for k in need:
+        top, odd = found[ident[k]]
+        if top != -1:
+            trees[top] = max(trees.get(top, ((-1,), False)), ((abs(rows[k]["nz"]), -ident[k]), (rows[k]["nz"] < 0) ^ odd))
+    for k, r in rows.items():
+        flip = False
+        if k in ident:
+            top, odd = found[ident[k]]
+            flip = odd ^ (top != -1 and trees[top][1])
+        assert got[k] == tuple((-1 if flip else 1) * r[c] for c in ("nx", "ny", "nz")), k
+    assert sum(found[i][0] != -1 for i in found) > 0 or len(best) > 100
+
+
 def test_box_sides_face_outwards(spark):
     b = cut(normals.estimate(binning.bins(walls(spark), CFG), CFG))
     out = 0

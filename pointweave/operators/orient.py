@@ -191,6 +191,6 @@ def orient(bins: DataFrame, cut, field: DataFrame | None = None, mode: str = "pr
     """The whole step: oracle (with a field), then propagation (mode "propagate") or none ("up")."""
     if field is not None:
         bins = cut(apply_oracle(bins, base_agreement(bins, field, cfg), cfg))
-    if mode == "up":
+    if mode == "up" or undecided(bins, cfg).where("need").isEmpty():
         return bins
     return flipped(bins, propagate(bins, cut(edges(bins, cfg)), cut, cfg))

@@ -130,7 +130,16 @@ class Mesher:
 
     # ingest
 
-    def ingest(self, seg: int, level: int, points: DataFrame, batch: int | None = None) -> IngestStats:
+    @staticmethod
+    def refusal(level: int) -> str:
+        """Why points of a refined segment are not taken."""
+        return "AlreadyRefined" if level == REFINED else "PreviewAfterRefined"
+
+    def done(self, batch: int | str) -> set[tuple[int, int]]:
+        """The arrivals (seg, level) that are in from this batch, which is the last one or comes again."""
+        return {(a[0], a[1]) for a in self._kept["arrivals"] if a[2] == batch}
+
+    def ingest(self, seg: int, level: int, points: DataFrame, batch: int | str | None = None) -> IngestStats:
         """points: the columns of binning.aggregate in whole millimetres; seg and level are set here.
 
         IngestError if the segment was refined before. A preview of the segment is dropped first, whatever follows it.
@@ -140,7 +149,7 @@ class Mesher:
             if batch is not None and a[:3] == [seg, level, batch]:
                 return IngestStats(**a[3])
         if seg in kept["refined"]:
-            raise IngestError("AlreadyRefined" if level == REFINED else "PreviewAfterRefined")
+            raise IngestError(self.refusal(level))
         rows, counts = self.rows(points.withColumns({"seg": F.lit(seg), "level": F.lit(level)}))  # sees the base only
         path = self._write(rows, f"rows-{seg}-{level}")
         gone = kept["layers"].pop(str(seg), [])
@@ -175,7 +184,7 @@ class Mesher:
 
     # extract
 
-    def extract(self, batch: int | None = None) -> DataFrame:
+    def extract(self, batch: int | str | None = None) -> DataFrame:
         """Changed blocks (CHANGES) in block order; null arrays: the block is gone. Clears the dirty set."""
         kept = json.loads(json.dumps(self._kept))
         if batch is None or kept["extracted"] != batch:
@@ -254,7 +263,10 @@ class SurfaceMesher(Mesher):
 
     def prepare_bins(self, points: DataFrame) -> DataFrame:
         """Bins as ingest accumulates them."""
-        b = cut(normals.estimate(binning.bins(points, self.cfg), self.cfg))
+        return self._prepared(binning.aggregate(points, self.cfg))
+
+    def _prepared(self, sums: DataFrame) -> DataFrame:
+        b = cut(normals.estimate(binning.finalise(sums), self.cfg))
         base = self.field(BASE) if self.oracle and BASE in self.layers() else None
         return orient.orient(b, cut, base, self.orientation, self.cfg)
 
@@ -263,11 +275,10 @@ class SurfaceMesher(Mesher):
 
     def rows(self, points: DataFrame) -> tuple[DataFrame, dict[str, int]]:
         sums = cut(binning.aggregate(points, self.cfg))
-        b = cut(self.prepare_bins(points))
-        every = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        trusted = binning.finalise(sums).where("fixed").count()
+        b = cut(self._prepared(sums))
+        every = binning.finalise(sums).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if("fixed")).first()
         used = b.count()
-        return self.contributions(b), {"input_points": every[0], "bins": used, "normals_estimated": used - trusted, "bins_dropped": every[1] - used}
+        return self.contributions(b), {"input_points": every[0], "bins": used, "normals_estimated": used - every[2], "bins_dropped": every[1] - used}
 
     def halo(self, rows: DataFrame) -> DataFrame:
         return incremental.halo(rows, self.cfg)

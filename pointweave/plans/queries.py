@@ -299,7 +299,10 @@ def q_simplified_stats(spark, d):
 
 
 def _streamed(spark, d):
-    """The mesher after all six arrivals came as a stream, two a batch, with an extract after each batch; and its changes by batch."""
+    """The mesher after all six arrivals came as a stream, with an extract after each batch; and its changes by batch.
+
+    Each arrival lies in two files, and half of them in two batches.
+    """
     import uuid
 
     from ..streaming.replay import replay
@@ -307,10 +310,12 @@ def _streamed(spark, d):
 
     at = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     p = cut(point_view(spark, d))
-    for i, (seg, level) in enumerate([(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (2, 1)]):
-        p.where((F.col("seg") == seg) & (F.col("level") == level)).coalesce(1).write.mode("append").parquet(f"{at}/in/{i}")
-    mesher, changes = SurfaceMesher(spark, f"{at}/state", CFG, orientation="up", oracle=False), []
-    replay(spark, f"{at}/in/*", mesher, f"{at}/checkpoint", lambda n, c: changes.append(cut(incremental.digests(c.where("positions is not null")).join(c.select("bx", "by", "bz", "version"), incremental.BLOCK, "right"))), files_per_batch=2)
+    p = p.join(p.groupBy("seg", "level").agg(F.count("*").alias("total")), ["seg", "level"]).withColumn("half", F.pmod(F.xxhash64("x", "y", "z"), F.lit(2)))
+    a, b, c, d, e, f = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (2, 1)]
+    for i, ((seg, level), half) in enumerate([(a, 0), (a, 1), (b, 0), (c, 0), (b, 1), (c, 1), (d, 0), (e, 0), (d, 1), (e, 1), (f, 0), (f, 1)]):
+        p.where((F.col("seg") == seg) & (F.col("level") == level) & (F.col("half") == half)).drop("half").coalesce(1).write.mode("append").parquet(f"{at}/in/{i}")
+    mesher, changes = SurfaceMesher(spark, f"{at}/state", CFG), []
+    replay(spark, f"{at}/in/*", mesher, f"{at}/checkpoint", lambda n, c: changes.append(cut(incremental.digests(c.where("positions is not null")).join(c.select("bx", "by", "bz", "version"), incremental.BLOCK, "right"))), files_per_batch=4)
     return mesher, changes
 
 

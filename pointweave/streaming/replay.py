@@ -1,47 +1,124 @@
-"""Streams of arrivals: points come in micro-batches, a batch being some (seg, level) arrivals complete.
+"""Streams of arrivals: points come in micro-batches and wait in a table until their arrival (seg, level) is whole.
 
-foreachBatch keeps the engine's state tables. The mesher's manifest holds, for the batch at work, which arrivals are in and whether
-its extract is done, so a batch that comes again after a failure, in this process or another, goes on where it stopped.
+An arrival may lie in any number of files and batches. Its rows say how many points it has (total); when so many are there it goes
+to the mesher. Where total is null it is whole when the stream ends. The waiting table is partitioned by segment, level and batch:
+a batch that comes again overwrites its own part, an arrival reads and at last drops its own parts only.
+
+The mesher's manifest holds, for the batch at work, which arrivals are in and whether its extract is done, so a batch that comes
+again after a failure, in this process or another, goes on where it stopped. Points that come after their segment was refined
+go to a table of rejects, with the reason, and so do arrivals that become whole too late.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import REFINED
 from ..plans.mesher import IngestError, Mesher
 
-POINTS = "seg int, level int, x long, y long, z long, nx long, ny long, nz long, r long, g long, b long"
+POINTS = "seg int, level int, x long, y long, z long, nx long, ny long, nz long, r long, g long, b long, total long"
+REJECTS = "seg int, level int, points long, reason string, batch string"
+END = "end"  # the batch of what is done when the stream has ended
+
+Late = tuple[int | str, int, int, str]
 
 
 def arrivals(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """A stream over Parquet files of POINTS, in order of arrival."""
+    """A stream over Parquet files of POINTS, in order of arrival; total may be missing."""
     return spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def handler(mesher: Mesher, changed: Callable[[int, DataFrame], None], rejected: Callable[[int, int, int, str], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: previews before refined ones, then one extract; late arrivals go to `rejected`. Both may see a batch twice."""
+class Waiting:
+    """The table of points whose arrival is not whole yet."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
-    def run(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+    def add(self, points: DataFrame, batch: int) -> None:
+        """Adds a batch's points, in place of what the batch added before."""
+        points.withColumn("batch", F.lit(batch)).write.partitionBy("seg", "level", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.folder)
+
+    def _read(self, path: str = "") -> DataFrame | None:
         try:
-            for r in batch.select("seg", "level").distinct().orderBy("level", "seg").collect():
-                try:
-                    mesher.ingest(r["seg"], r["level"], batch.where((F.col("seg") == r["seg"]) & (F.col("level") == r["level"])), number)
-                except IngestError as e:
-                    rejected(number, r["seg"], r["level"], str(e))
-            changed(number, mesher.extract(number))
+            return self.spark.read.option("basePath", self.folder).schema(f"{POINTS}, batch int").parquet(self.folder + path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def counts(self) -> list[tuple[int, int, int, int | None]]:
+        """(level, seg, points, total) of every arrival that waits, previews first; total is null where some row does not know it."""
+        rows = self._read()
+        if rows is None:
+            return []
+        found = rows.groupBy("level", "seg").agg(F.count("*").alias("points"), F.when(F.count("total") == F.count("*"), F.max("total")).alias("total"))
+        return sorted((r["level"], r["seg"], r["points"], r["total"]) for r in found.collect())
+
+    def points(self, seg: int, level: int) -> DataFrame:
+        return self._read(f"/seg={seg}/level={level}").drop("total", "batch")
+
+    def drop(self, seg: int, level: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seg={seg}/level={level}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Replay:
+    """Feeds a mesher; `folder` keeps the waiting points and the rejects. changed sees the changes of every batch, maybe twice."""
+
+    def __init__(self, mesher: Mesher, folder: str, changed: Callable[[int | str, DataFrame], None] = lambda n, d: None):
+        self.mesher, self.spark, self.changed = mesher, mesher.spark, changed
+        self.folder = folder.rstrip("/")
+        self.waiting = Waiting(self.spark, f"{self.folder}/waiting")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        batch, done = batch.persist(), self.mesher.done(number)
+        try:
+            came = [(r["seg"], r["level"], r["n"]) for r in batch.groupBy("seg", "level").agg(F.count("*").alias("n")).collect()]
+            refined = set(self.mesher.refined_segments()) - {seg for seg, level in done if level == REFINED}
+            late = [(seg, level, n, self.mesher.refusal(level)) for seg, level, n in came if seg in refined]
+            here = [(seg, level) for seg, level, _ in came if seg not in refined and (seg, level) not in done]
+            if here:
+                mine = self.spark.createDataFrame(here, "seg int, level int")
+                self.waiting.add(batch.join(F.broadcast(mine), ["seg", "level"], "left_semi"), number)  # a row an arrival of the batch
+            self._go_on(number, late, lambda points, total: total is not None and points >= total)
         finally:
             batch.unpersist()
 
-    return run
+    def finish(self) -> None:
+        """The stream has ended: arrivals of unknown size are whole. What knows its size and lacks points goes on waiting."""
+        self._go_on(END, [], lambda points, total: total is None)
+
+    def _go_on(self, number: int | str, late: list[tuple[int, int, int, str]], whole: Callable[[int, int | None], bool]) -> None:
+        for level, seg, points, total in self.waiting.counts():
+            if whole(points, total):
+                try:
+                    self.mesher.ingest(seg, level, self.waiting.points(seg, level), number)
+                except IngestError as e:
+                    late.append((seg, level, points, str(e)))
+                self.waiting.drop(seg, level)
+        if late:
+            self.spark.createDataFrame([(*r, str(number)) for r in late], REJECTS).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/rejects/{number}")
+        self.changed(number, self.mesher.extract(number))
+
+    def rejects(self) -> DataFrame:
+        """(seg, level, points, reason, batch) of all that came too late."""
+        try:
+            return self.spark.read.schema(REJECTS).parquet(f"{self.folder}/rejects/*")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], REJECTS)
 
 
-def replay(spark: SparkSession, folder: str, mesher: Mesher, checkpoint: str, changed: Callable[[int, DataFrame], None] = lambda n, d: None, files_per_batch: int = 1) -> list[tuple[int, int, int, str]]:
-    """Runs all files through the mesher and returns the rejected arrivals (batch, seg, level, reason)."""
-    late: list[tuple[int, int, int, str]] = []
-    query = arrivals(spark, folder, files_per_batch).writeStream.foreachBatch(handler(mesher, changed, lambda *x: late.append(x))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def replay(spark: SparkSession, folder: str, mesher: Mesher, checkpoint: str, changed: Callable[[int | str, DataFrame], None] = lambda n, d: None, files_per_batch: int = 1, state: str | None = None) -> list[Late]:
+    """Runs all files through the mesher and returns what was rejected (batch, seg, level, reason). state: by default beside the checkpoint."""
+    run = Replay(mesher, state or f"{checkpoint.rstrip('/')}-points", changed)
+    query = arrivals(spark, folder, files_per_batch).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return late
+    run.finish()
+    return [(r["batch"] if r["batch"] == END else int(r["batch"]), r["seg"], r["level"], r["reason"]) for r in run.rejects().orderBy("batch", "seg", "level").collect()]

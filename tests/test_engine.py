@@ -15,6 +15,7 @@ from pointweave.plans.lineage import Scratch, cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
 from pointweave.plans.points import point_view, stride
 from pointweave.sources import ply
+from pointweave.streaming import replay
 
 CFG = Config(block_dim=8)
 POINT = "seg int, level int, x long, y long, z long, nx long, ny long, nz long, r long, g long, b long"
@@ -203,6 +204,44 @@ def test_reopened_mesher_goes_on_and_batches_are_done_once(spark, tmp_path):
     assert blocks(c.meshes()) == blocks(one.meshes())
 
 
+def test_arrivals_over_files_and_batches_lose_nothing(spark, tmp_path):
+    """Arrivals in pieces, of known and unknown size; late points; a batch that fails after its ingest and comes again."""
+    wide, low = plane(spark, 0, 4000, 0, 800, 0), plane(spark, 0, 2000, 0, 800, 300, seg=2, level=0)
+    known = lambda df, n: df.withColumn("total", F.lit(n).cast("long"))
+    n = wide.count()
+    files = [known(wide.where("x < 2000"), n), known(low.where("x < 1000"), None), known(low.where("x >= 1000"), None), known(wide.where("x >= 2000"), n), known(wide.where("x < 100"), n), known(plane(spark, 0, 300, 0, 300, 0, seg=3), 1000)]
+    for i, f in enumerate(files):
+        f.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    mesher = SurfaceMesher(spark, f"{tmp_path}/state", CFG, "up", False)
+    failed, seen, copy = [], [], {}
+
+    def changed(number, rows):
+        seen.append(number)
+        for r in rows.collect():
+            copy[r["bx"], r["by"], r["bz"]] = r["positions"] and (r["positions"], r["colors"], r["indices"])
+        if number == 3 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the ingest")
+
+    run = lambda m: replay.replay(spark, f"{tmp_path}/in/*", m, f"{tmp_path}/checkpoint", changed)
+    with pytest.raises(Exception, match="lost after the ingest"):
+        run(mesher)
+    mesher = SurfaceMesher(spark, f"{tmp_path}/state", CFG, "up", False)
+    assert run(mesher) == [(4, 0, 1, "AlreadyRefined")]
+    assert seen == [0, 1, 2, 3, 3, 4, 5, replay.END] and mesher.refined_segments() == [0] and mesher.pending_segments() == [2]
+    one = SurfaceMesher(spark, f"{tmp_path}/one", CFG, "up", False)
+    one.ingest(0, 1, wide)
+    one.ingest(2, 0, low)
+    assert {k: v for k, v in copy.items() if v} == blocks(mesher.meshes()) == blocks(one.extract())
+    waiting = replay.Waiting(spark, f"{tmp_path}/checkpoint-points/waiting")
+    assert waiting.counts() == [(1, 3, 36, 1000)] and mesher.dirty_count() == 0
+    # what came of segment 2's refined version as the stream ended is whole by then; the preview that follows is too late
+    for i, f in ((6, known(plane(spark, 0, 2000, 0, 800, 0, seg=2), None)), (7, known(low, None))):
+        f.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    assert (replay.END, 2, 0, "PreviewAfterRefined") not in run(mesher)  # previews go first at the end
+    assert mesher.refined_segments() == [0, 2] and mesher.pending_segments() == []
+
+
 def test_extract_simplifies(spark, tmp_path):
     fine, coarse = SurfaceMesher(spark, f"{tmp_path}/a", CFG, "up", False), SurfaceMesher(spark, f"{tmp_path}/b", Config(block_dim=8, simplify_error=20), "up", False)
     for m in (fine, coarse):

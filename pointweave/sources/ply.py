@@ -22,7 +22,7 @@ PROPERTIES = ["float x", "float y", "float z", "uchar red", "uchar green", "ucha
 RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("nx", "<f4"), ("ny", "<f4"), ("nz", "<f4")])
 #: Other names of the types.
 ALIASES = {"float32": "float", "uint8": "uchar"}
-#: Records that are read together, and bytes in which the header must end.
+#: Records that are read together, and bytes of a header that are read at once.
 RANGE, HEAD = 1 << 20, 1 << 16
 POINT_SCHEMA = "path string, ord long, x float, y float, z float, r short, g short, b short, nx float, ny float, nz float"
 
@@ -55,6 +55,14 @@ def _at(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _head(f: pa.NativeFile, length: int) -> bytes:
+    """A file's first bytes, as far as its header goes; what is no header is not read on."""
+    raw = b""
+    while len(raw) < length and b"end_header\n" not in raw and raw[:4] in (b"", b"ply\n"):
+        raw += f.read_at(min(max(HEAD, len(raw)), length - len(raw)), len(raw))
+    return raw
+
+
 def read_points(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
     """POINT_SCHEMA rows of all files that path matches; with a stride, records 0, stride, ... are the only ones given.
 
@@ -68,7 +76,7 @@ def read_points(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
             for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 where, at = _at(name)
                 with where.open_input_file(at) as f:
-                    body, n = header(f.read_at(min(HEAD, length), 0), length)
+                    body, n = header(_head(f, length), length)
                 first = np.arange(0, n, RANGE)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(first)), pa.array([body] * len(first), pa.int64()), pa.array(first, pa.int64()), pa.array(np.minimum(n - first, RANGE), pa.int64())], ["path", "body", "first", "n"])
 

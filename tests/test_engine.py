@@ -342,6 +342,18 @@ def test_ranges_of_records_are_read_apart(spark, tmp_path, monkeypatch):
         assert got == [(i, float(i), i % 200) for i in range(0, 1003, stride_)]
 
 
+def test_headers_of_any_length(spark, tmp_path, monkeypatch):
+    rows = np.zeros(10, ply.RECORD)
+    rows["x"] = np.arange(10)
+    ply.write_points(f"{tmp_path}/p.ply", rows)
+    raw = open(f"{tmp_path}/p.ply", "rb").read()
+    with open(f"{tmp_path}/long.ply", "wb") as f:
+        f.write(raw.replace(b"element vertex", b"comment " + b"x" * 300_000 + b"\nelement vertex"))
+    for bound in (ply.HEAD, 7):
+        monkeypatch.setattr(ply, "HEAD", bound)
+        assert sorted(r["x"] for r in ply.read_points(spark, f"{tmp_path}/long.ply").collect()) == list(range(10))
+
+
 def read_mesh(path):
     raw = open(path, "rb").read()
     head, body = raw.split(b"end_header\n", 1)

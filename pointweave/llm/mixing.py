@@ -65,21 +65,19 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def targets(source_sizes: list[int], weights: list[float], repeats: int = REPEATS) -> list[float]:
     """Shares of the whole by weight; a source stops at repeats times its size, and the excess goes to the others."""
-    total = float(sum(source_sizes))
     out = [0.0] * len(source_sizes)
-    open_ = [i for i, s in enumerate(source_sizes) if s > 0]
-    left = total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > repeats * source_sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+    open_ = sorted((i for i, s in enumerate(source_sizes) if s > 0), key=lambda i: source_sizes[i] / weights[i])
+    left, units = float(sum(source_sizes)), math.fsum(weights[i] for i in open_)
+    # the share of a unit of weight only grows as sources stop, so they stop in the order of size by weight
+    for k, i in enumerate(open_):
+        if left / units * weights[i] <= repeats * source_sizes[i]:
+            rest = open_[k:]
+            unit = left / math.fsum(weights[j] for j in rest)
+            for j in rest:
+                out[j] = unit * weights[j]
             break
-        for i in full:
-            out[i] = float(repeats * source_sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = float(repeats * source_sizes[i])
+        left, units = left - out[i], units - weights[i]
     return out
 
 

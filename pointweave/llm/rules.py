@@ -20,13 +20,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import BLANKS, cut, fold
 
-RISK, LEVEL, STEPS, PROPOSE, MAX_STRATA = 0.05, 0.05, 24, 4, 1000  # one in PROPOSE labelled rows proposes
+RISK, LEVEL, STEPS, PROPOSE = 0.05, 0.05, 24, 4  # one in PROPOSE labelled rows proposes
+BROADCAST = 10_000  # rows of a table that is sent to all tasks; a longer one is joined by shuffling
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks")
 #: Rule: its measure (more is worse) and the loosest and strictest cutoff that are tried.
@@ -116,61 +118,81 @@ def tail(k: int, n: int, p: float) -> float:
     return min(1.0, max(0.0, 1.0 - total if upper else total))
 
 
-def _rejected(rows: DataFrame, at: list[str]) -> dict[tuple, list[int]]:
-    """For rows (.., good, hits): by the columns `at` and good, how many each step rejects; hits counts a row's steps, the strictest ones."""
-    out: dict[tuple, list[int]] = {}
-    for r in rows.groupBy(*at, "good", "hits").count().collect():  # bounded: strata x rules x steps
-        counts = out.setdefault((*(r[c] for c in at), r["good"]), [0] * (STEPS + 1))
-        for i in range(STEPS - r["hits"], STEPS + 1):
-            counts[i] += r["count"]
-    return out  # the last entry counts all rows
+def _stratum(column: str) -> Column:
+    """A stratum's name, never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def learn(counted: DataFrame, good: Column, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> dict[str | None, dict[str, float]]:
-    """Cutoffs by stratum and rule, from labelled rows with doc_id; `good` marks the documents that must not be rejected.
+def _rejected(hits: list[int], counts: list[int]) -> list[int]:
+    """How many rows each step rejects, and all rows last; a row is rejected by the `hits` strictest steps."""
+    out = [0] * (STEPS + 1)
+    for h, n in zip(hits, counts, strict=True):
+        for i in range(STEPS - h, STEPS + 1):
+            out[i] += n
+    return out
+
+
+def _sides(tallies: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """_rejected of the good rows and of the others."""
+    return tuple(_rejected(t.hits.tolist(), t["count"].tolist()) for t in (tallies[tallies.good], tallies[~tallies.good]))
+
+
+def _sent(table: DataFrame) -> DataFrame:
+    """table for a join with larger rows: broadcast if it has BROADCAST rows at most."""
+    rows = table.limit(BROADCAST + 1).collect()
+    return F.broadcast(table.sparkSession.createDataFrame(rows, table.schema)) if len(rows) <= BROADCAST else table
+
 
-    Counts come to the driver; more than MAX_STRATA strata raise ValueError.
+def learn(counted: DataFrame, good: Column, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """(stratum, cut_<rule> ..): the cutoffs of every stratum that has any (its name by _stratum), null for a rule that stays off.
+
+    counted: labelled rows with doc_id; `good` marks the documents that must not be rejected. A stratum's counts (rules x steps rows)
+    go to one task, and any number of strata over all tasks.
     """
     by = measures()
-    rows = counted.where(~base_failed()).select(F.col(stratum).alias("stratum"), good.alias("good"), (fold(PROPOSE) == 0).alias("first"), *(m.alias(r) for r, m in by.items()))
-    strata = [r[0] for r in rows.where("good").select("stratum").distinct().limit(MAX_STRATA + 1).collect()]
-    if len(strata) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
+    names = list(by)
+    rows = counted.where(~base_failed()).select(_stratum(stratum).alias("stratum"), good.alias("good"), (fold(PROPOSE) == 0).alias("first"), *(m.alias(r) for r, m in by.items()))
+    strata = rows.where("good").select("stratum").distinct().count()
     hits = lambda rule, cutoffs: F.size(F.filter(cutoffs, lambda c: F.col(rule) > c))
-    tried = F.array(*(F.struct(F.lit(r).alias("rule"), hits(r, F.array(*map(F.lit, path(*RANGE[r])))).alias("hits")) for r in by))
-    proposals = _rejected(rows.where("first").select("stratum", "good", F.explode(tried).alias("t")).select("stratum", "good", "t.*"), ["stratum", "rule"])
-    paths: dict[str | None, dict[str, list[float]]] = {s: {} for s in strata}
-    for s in strata:
-        for r in by:
-            yes, no = (proposals.get((s, r, g), [0] * (STEPS + 1)) for g in (True, False))
-            cheap = [i for i in range(STEPS) if yes[i] <= risk / len(by) * yes[-1] and no[i] * yes[-1] > yes[i] * no[-1]]
-            if cheap:
-                paths[s][r] = path(RANGE[r][0], path(*RANGE[r])[cheap[-1]])
-    if not strata:
-        return {}
-    steps = counted.sparkSession.createDataFrame([(None if s is None else str(s), *(paths[s].get(r, []) for r in by)) for s in strata], "s string, " + ", ".join(f"path_{r} array<double>" for r in by))
-    held = rows.where("not first").join(F.broadcast(steps), rows["stratum"].cast("string").eqNullSafe(F.col("s")))
-    tests = _rejected(held.select("stratum", "good", F.greatest(*(hits(r, F.col(f"path_{r}")) for r in by)).alias("hits")), ["stratum"])
-    out: dict[str | None, dict[str, float]] = {}
-    for s in strata:
-        yes, no = (tests.get((s, g), [0] * (STEPS + 1)) for g in (True, False))
-        best = 0.0
+    paths, cuts = (", ".join(["stratum string", *(f"{kind}_{r} {t}" for r in by)]) for kind, t in (("path", "array<double>"), ("cut", "double")))
+
+    def propose(t: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for r in names:
+            yes, no = _sides(t[t.rule == r])
+            cheap = [i for i in range(STEPS) if yes[i] <= risk / len(names) * yes[-1] and no[i] * yes[-1] > yes[i] * no[-1]]
+            found.append(path(RANGE[r][0], path(*RANGE[r])[cheap[-1]]) if cheap else [])
+        return pd.DataFrame([(t.stratum.iloc[0], *found)] if any(found) else [], columns=["stratum", *(f"path_{r}" for r in names)])
+
+    def choose(t: pd.DataFrame) -> pd.DataFrame:
+        (yes, no), best, at = _sides(t), 0.0, None
         for i in range(STEPS):  # the order is fixed beforehand, so only the strata need a correction
-            if not yes[-1] or tail(yes[i], yes[-1], risk) > level / len(strata):
+            if not yes[-1] or tail(yes[i], yes[-1], risk) > level / strata:
                 break
             gain = no[i] / max(1, no[-1]) - yes[i] / yes[-1]
             if gain > best:
-                best, out[s] = gain, {r: c[i] for r, c in paths[s].items()}
-    return out
+                best, at = gain, i
+        one = t.iloc[0]
+        found = [(one.stratum, *(one[f"path_{r}"][at] if len(one[f"path_{r}"]) else None for r in names))] if at is not None else []
+        return pd.DataFrame(found, columns=["stratum", *(f"cut_{r}" for r in names)])
+
+    tried = F.array(*(F.struct(F.lit(r).alias("rule"), hits(r, F.array(*map(F.lit, path(*RANGE[r])))).alias("hits")) for r in by))
+    tallies = rows.where("first").select("stratum", "good", F.explode(tried).alias("t")).groupBy("stratum", "good", "t.rule", "t.hits").count()
+    proposed = _sent(cut(tallies.groupBy("stratum").applyInPandas(propose, paths)))
+    held = rows.where("not first").join(proposed, "stratum")
+    tests = held.select("stratum", "good", F.greatest(*(hits(r, F.col(f"path_{r}")) for r in by)).alias("hits")).groupBy("stratum", "good", "hits").count()
+    return cut(tests.join(proposed, "stratum").groupBy("stratum").applyInPandas(choose, cuts))
 
 
-def judge(cutoffs: dict[str | None, dict[str, float]], stratum: str = "lang") -> Column:
-    """True where no rule of the row's stratum rejects."""
-    by, bad = measures(), F.lit(False)
-    for s, rules in cutoffs.items():
-        for rule, c in rules.items():
-            bad = bad | (F.col(stratum).eqNullSafe(F.lit(s)) & (by[rule] > c))
-    return ~bad
+def judge(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang", name: str = "passed") -> DataFrame:
+    """counted with `name`: true where no rule of the row's stratum rejects."""
+    by = measures()
+    own = _sent(cutoffs.withColumnRenamed("stratum", "_cut"))
+    joined = counted.join(own, _stratum(stratum) == F.col("_cut"), "left")
+    bad = F.lit(False)
+    for r, m in by.items():
+        bad = bad | F.coalesce(m > F.col(f"cut_{r}"), F.lit(False))
+    return joined.withColumn(name, ~bad).drop("_cut", *(f"cut_{r}" for r in by))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
@@ -182,6 +204,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     counted = cut(measure(docs, ["doc_id", stratum]))
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     labelled = cut(counted.withColumnRenamed(stratum, "_stratum").join(marked.withColumnRenamed("good", "_good"), "doc_id"))
-    cutoffs = learn(labelled, F.col("_good"), "_stratum", risk, level)
-    kept = F.when(base_failed(), F.lit(False)).otherwise(judge(cutoffs, stratum))
-    return counted.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), kept.alias("kept"), *COUNTS[5:])
+    judged = judge(counted, learn(labelled, F.col("_good"), "_stratum", risk, level), stratum, "_passed")
+    return judged.select("doc_id", *COUNTS[:5], base_failed().alias("base_failed"), (~base_failed() & F.col("_passed")).alias("kept"), *COUNTS[5:])

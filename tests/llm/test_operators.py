@@ -36,6 +36,32 @@ def docs(spark):
     return {r["doc_id"]: r for r in table(spark, SF, "documents").collect()}
 
 
+def test_rules_of_thousands_of_strata(spark, monkeypatch):
+    """No limit on strata; cutoffs are found in the one that has labels enough, by either way of joining."""
+    spam, plain = "#$%&|<>" * 40, "some words that go on without any sign at all, each of them another one "
+    texts = [(i, f"s{i % 3000}", plain * 8) for i in range(6000)]
+    texts += [(10_000 + i, "big", " ".join(f"a{i}b{k}" for k in range(80)) + " " + (spam if i % 3 == 0 else "")) for i in range(1500)]
+    docs = spark.createDataFrame([(d, t, s) for d, s, t in texts], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(d, int(not (s == "big" and d % 3 == 10_000 % 3))) for d, s, _ in texts], "doc_id long, quality int")
+    out = []
+    for bound in (rules.BROADCAST, 0):
+        monkeypatch.setattr(rules, "BROADCAST", bound)
+        out.append({r["doc_id"]: (r["base_failed"], r["kept"]) for r in rules.verdicts(docs, labels).collect()})
+    assert out[0] == out[1] and len(out[0]) == len(texts)
+    big = [(d, kept) for d, (failed, kept) in out[0].items() if d >= 10_000 and not failed]
+    assert len(big) > 1000 and {kept for d, kept in big if d % 3 != 10_000 % 3} == {True} and not any(kept for d, kept in big if d % 3 == 10_000 % 3)
+
+
+def test_targets_of_many_sources():
+    rng = random.Random(6)
+    sizes, weights = [rng.choice([0, 1, 5, 1000, rng.randrange(10**6)]) for _ in range(200_000)], [1 + i % 3 for i in range(200_000)]
+    got = mixing.targets(sizes, weights)
+    assert math.isclose(math.fsum(got), sum(sizes), rel_tol=1e-9)
+    units = [g / w for g, w, s in zip(got, weights, sizes, strict=True) if s and g < 3 * s * (1 - 1e-9)]
+    assert math.isclose(min(units), max(units), rel_tol=1e-9) and all(g <= 3 * s + 1e-6 for g, s in zip(got, sizes, strict=True))
+    assert all(g / w <= max(units) * (1 + 1e-9) for g, w in zip(got, weights, strict=True))
+
+
 def test_fingerprints_follow_the_contract(spark, docs):
     ids = sorted(docs)
     got = {r["doc_id"]: r for r in registry.op1_fingerprints(spark, SF).collect()}

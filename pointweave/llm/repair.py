@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Rounds and new symbols a round, at most: they bound the time, all ids are encoded in any case.
-ROUNDS, BATCH = 6, 2600
+ROUNDS, BATCH = 4, 3900
 #: Uses that a rule is worth.
 LEAST = 6
 

@@ -21,9 +21,11 @@ a batch of texts and one shard.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +60,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _raw(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Ids(dict):
     """text between blanks -> its ids as bytes.
 
@@ -72,15 +81,17 @@ class Ids(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         if not piece:
             raw = b""
-        elif _SIMPLE.fullmatch(piece) and "<|" not in piece and unicodedata.is_normalized("NFC", piece):
-            raw = b"".join([self.words.get(w) or self._word(w) for w in _PARTS.findall(piece.lower())])
+        elif _SIMPLE.fullmatch(piece) and "<|" not in piece and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
+            known = self.words.get
+            raw = b"".join([known(w) or self._word(w) for w in _PARTS.findall(piece.lower())])
         else:
-            raw = np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, _U32).tobytes()
+            raw = _raw(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= LONGEST:
             if len(self) >= KEPT:
                 self.clear()
@@ -88,7 +99,8 @@ class Ids(dict):
         return raw
 
     def _word(self, word: str) -> bytes:
-        raw = np.asarray([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))], _U32).tobytes()
+        # graphic ASCII characters stand for themselves
+        raw = _raw([t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES))])
         if len(word) <= LONGEST:
             if len(self.words) >= KEPT:
                 self.words.clear()

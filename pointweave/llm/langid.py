@@ -5,7 +5,8 @@ binds its letters by multiplying them, the first shifted by two places and the s
 adds, its trigram vectors; a language's prototype bundles those of its learning documents, each at length one. A document
 is given the language whose prototype has the largest cosine with it; the least in code point order wins a tie.
 
-Letters are case-folded code points: up to U+017F each has its own class, later ones share classes by a fixed hash. Runs of
+Letters up to U+017F are taken without case, each base letter as a class of its own; later code points are taken as they are, capital
+and small ones apart, and share classes by a fixed hash. Runs of
 other characters count as one blank; a text begins and ends with a blank. score is the best cosine's share after a softmax
 over the languages at TEMPERATURE, so it lies between 0 and 1.
 

@@ -16,6 +16,7 @@ from ..config import Config
 from ..operators import bins as binning
 from ..operators import mesh
 from ..sources import ply
+from ..sources import points as point_files
 from .lineage import cut
 from .mesher import HeightMesher, Mesher, SurfaceMesher
 
@@ -76,10 +77,10 @@ def main(arguments: list[str] | None = None) -> None:
         p.add_argument(f"--{name.replace('_', '-')}", type=type(getattr(d, name)), default=getattr(d, name))
     a = p.parse_args(arguments)
     cfg = Config(voxel=a.voxel, block_dim=a.block_dim, bin=a.bin, splat_radius=a.splat_radius, min_weight=a.min_weight, simplify_error=a.simplify_error)
-    spark = SparkSession.builder.getOrCreate()
-    read = ply.segments if a.layout == "segments" else ply.chunks
-    points = binning.quantise(read(spark, a.data))
-    segs = sorted(r["seg"] for r in points.select("seg").distinct().collect())
+    # a step's filter on seg and level reaches the source, so each file is opened by its own step only
+    spark = SparkSession.builder.config(point_files.PUSHDOWN, "true").getOrCreate()
+    points = binning.quantise(point_files.read(spark, a.data, a.layout))
+    segs = sorted({f.seg for f in point_files.LAYOUTS[a.layout](a.data)})
     segs = segs[: a.limit] if a.limit else segs
     mesher = SurfaceMesher(spark, f"{a.out}/state", cfg, a.orientation) if a.mesher == "surface" else HeightMesher(spark, f"{a.out}/state", cfg)
     run(mesher, points, ply.steps(segs, a.order), a.out, not a.no_blocks, not a.no_mesh, a.far).show(1000, False)

@@ -98,34 +98,6 @@ def read_points(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
     return found.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, POINT_SCHEMA)
 
 
-def segments(spark: SparkSession, folder: str, stride: int = 1) -> DataFrame:
-    """Points with seg and level from files r<k>_refined.ply and r<k>_preview_new.ply, k = 0, 1, .. up to the first gap.
-
-    File names (not contents) come to the driver. A refined file without its preview raises FileNotFoundError.
-    """
-    names = [r["path"] for r in spark.read.format("binaryFile").load(f"{folder}/*.ply").select("path").collect()]
-    have = {n.rsplit("/", 1)[-1] for n in names}
-    n = 0
-    while f"r{n}_refined.ply" in have:
-        if f"r{n}_preview_new.ply" not in have:
-            raise FileNotFoundError(f"r{n}_preview_new.ply")
-        n += 1
-    pts = read_points(spark, f"{folder}/r*.ply", stride)
-    k = F.regexp_extract("path", r"/r(\d+)_(?:refined|preview_new)\.ply$", 1)
-    level = F.when(F.col("path").endswith("_refined.ply"), 1).otherwise(0)
-    return pts.where(k != "").withColumns({"seg": k.cast("int"), "level": level}).where(F.col("seg") < n).drop("path")
-
-
-def chunks(spark: SparkSession, folder: str, stride: int = 4) -> DataFrame:
-    """Points with seg and level from files tc_*.ply in path order: each is a refined segment and, thinned, its preview."""
-    names = sorted(r["path"] for r in spark.read.format("binaryFile").load(f"{folder}/tc_*.ply").select("path").collect())
-    number = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "path string, seg int")
-    refined = read_points(spark, f"{folder}/tc_*.ply").join(F.broadcast(number), "path").withColumn("level", F.lit(1))
-    nothing = F.lit(float("nan")).cast("float")
-    preview = refined.where(F.col("ord") % stride == 0).withColumns({"level": F.lit(0), "nx": nothing, "ny": nothing, "nz": nothing})
-    return refined.unionByName(preview).drop("path")
-
-
 def steps(segs: list[int], order: str = "realistic") -> list[list[tuple[int, int]]]:
     """Steps of (seg, level): "pr" takes P0, R0, P1, R1, ..; "realistic" takes P0, (R0 and P1), .., R last."""
     if order == "pr":

@@ -15,6 +15,7 @@ from pointweave.plans.lineage import Scratch, cut
 from pointweave.plans.mesher import HeightMesher, IngestError, SurfaceMesher
 from pointweave.plans.points import point_view, stride
 from pointweave.sources import ply
+from pointweave.sources import points as point_files
 from pointweave.streaming import replay
 
 CFG = Config(block_dim=8)
@@ -279,7 +280,7 @@ def test_point_files(spark, tmp_path):
         ply.write_points(f"{tmp_path}/{name}.ply", rows)
     got = ply.read_points(spark, f"{tmp_path}/r0_refined.ply", 4).orderBy("ord").collect()
     assert [r["ord"] for r in got] == list(range(0, 1003, 4)) and [r["x"] for r in got] == list(range(0, 1003, 4))
-    assert {(r["seg"], r["level"]) for r in ply.segments(spark, str(tmp_path)).select("seg", "level").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert {(r["seg"], r["level"]) for r in point_files.read(spark, str(tmp_path)).select("seg", "level").distinct().collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     head, body = rows.tobytes(), None
     del body
     good = open(f"{tmp_path}/r0_refined.ply", "rb").read()

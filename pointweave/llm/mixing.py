@@ -2,14 +2,18 @@
 
 targets() shares the corpus among the sources by weight, none above REPEATS times its size. The schedule has a slot for each
 word of the corpus; slot i stands at the golden-ratio point frac((i + 1/2) * 0.618...), which cumulative target shares map
-to a source. A slot's rank among its source's slots names the word it takes: a source's documents, shuffled by a salted
-hash, lie end to end on a tape, and slots take its words in turn, from the start again after the last. Counts of slots are
-exact at any size, and within a few words of the targets. What a document gives is what the taken words cover of it.
+to a source. That says how many words each source gives, exactly and at any size, within a few words of the targets. A source's
+documents, shuffled by a salted hash, lie end to end on a tape that begins again after its last word, and what the source gives
+of it is cut into blocks of BLOCK words (the last may be shorter). The blocks of all sources are dealt to as many slots of a
+schedule: slot i stands at a golden-ratio point again, cumulative block counts map it to a source, and its rank among its source's
+slots names the block. Where a source has a few more slots than blocks, those that are left over go, in order, to the blocks of
+sources that have fewer, so that each block has one slot. Documents meet their blocks in a join; what a document gives is the sum
+over its pieces there, and its places are the slots in which it begins.
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; documents of size 0 are kept
 with taken 0; repeated rows are separate documents, in an order fixed by doc_id and text hash; an empty table gives no rows.
 The sources (not the documents) are collected: more than MAX_SOURCES of them raise ValueError. A source's running sums go
-through CHUNKS hash ranges, so that no task holds a whole source.
+through CHUNKS hash ranges, so that no task holds a whole source; slots are ranked by ranges.
 """
 
 from __future__ import annotations
@@ -22,12 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, WORD, bytes_of, cut, lean
+from ..operators.rank import ranked
+from ._common import BLANKS, U64, WORD, bytes_of, cut, lean
 
 REPEATS, MAX_SOURCES, CHUNKS = 3, 100_000, 1 << 14
+#: A block has 2 ** BLOCK_BITS words.
+BLOCK_BITS = 11
+BLOCK = 1 << BLOCK_BITS
 #: The schedule's points are whole numbers below CIRCLE; GOLDEN is half a step of (sqrt(5) - 1) / 2 of it.
 CIRCLE = 1 << 128
 GOLDEN = (math.isqrt(5 << 254) - (1 << 127)) >> 1
@@ -137,54 +145,117 @@ def tape(sized: DataFrame) -> DataFrame:
     per = chunk.groupBy("source", "chunk").agg(F.sum("size").alias("s"))
     before = per.withColumn("s", F.sum("s").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), F.coalesce("s", F.lit(0)).alias("_before"))
-    own = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "chunk").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     inside = chunk.withColumn("begin", F.coalesce(F.sum("size").over(own), F.lit(0)))
     joined = inside.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("chunk") == F.col("_chunk")))
     return joined.withColumn("begin", F.col("begin") + F.col("_before")).drop("_source", "_chunk", "_before", "chunk")
 
 
+def slots(spark: SparkSession, mixes: list[Mix]) -> DataFrame:
+    """(idx, block, slot): the slot of every block that source idx gives; slots count from 0 without a gap."""
+    blocks = [-(-m.words // BLOCK) for m in mixes]
+    n = sum(blocks)
+    ends = np.array([min((e << 64) // max(n, 1), (1 << 64) - 1) for e in itertools.accumulate(blocks)], U64)
+    step = U64(GOLDEN >> 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            with np.errstate(over="ignore"):
+                point = (b.column(0).to_numpy().astype(U64) * U64(2) + U64(1)) * step
+            to = np.minimum(np.searchsorted(ends, point, side="right"), len(ends) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to, pa.int32())], ["slot", "idx"])
+
+    known = spark.createDataFrame(list(enumerate(blocks)), "idx int, blocks long")
+    ranks = ranked(spark.range(n).mapInArrow(lean(run), "slot long, idx int"), ["idx"], ["slot"], cut, "block")
+    held = ranks.join(F.broadcast(known), "idx")
+    had = ranks.groupBy("idx").agg(F.count("*").alias("n"))
+    short = known.join(had, "idx", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
+    short = short.select("idx", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("block"))
+    over = ranked(held.where("block >= blocks").select("slot"), [], ["slot"], cut, "k")
+    dealt = over.join(ranked(short, [], ["idx", "block"], cut, "k"), "k")
+    return held.where("block < blocks").select("idx", "block", "slot").unionByName(dealt.select("idx", "block", "slot"))
+
+
+def _known(spark: SparkSession, mixes: list[Mix]) -> DataFrame:
+    rows = [(m.source, i, m.size, m.target, m.words) for i, m in enumerate(mixes)]
+    return spark.createDataFrame(rows, "_source string, idx int, source_size long, target double, words long")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return cut(sizes(docs).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _scheduled(sized: DataFrame, mixes: list[Mix]) -> DataFrame:
+    spark = sized.sparkSession
+    at = tape(sized).join(F.broadcast(_known(spark, mixes)), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    turned = at.withColumn("turn", F.explode(F.array(*map(F.lit, range(REPEATS))))).withColumn("lo", F.col("begin") + F.col("turn") * F.col("source_size"))
+    turned = turned.withColumn("hi", F.least(F.col("lo") + F.col("size"), "words")).where("lo < hi")
+    pieces = turned.withColumn("block", F.explode(F.sequence(F.shiftright("lo", BLOCK_BITS), F.shiftright(F.col("hi") - 1, BLOCK_BITS))))
+    left = F.col("block") * BLOCK
+    begin = F.greatest("lo", left)
+    pieces = pieces.select("row", "doc_id", "source", "key", "turn", "idx", "block", (begin - left).alias("at"), (begin - F.col("lo")).alias("first"), (F.least("hi", left + BLOCK) - begin).alias("words"))
+    return pieces.join(slots(spark, mixes), ["idx", "block"])
+
+
+def scheduled(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """The schedule of docs (doc_id, text, source): (slot, at, doc_id, source, key, turn, first, words), a row a piece.
+
+    `words` words of the document, from its word `first` on, stand in the slot's block from word `at` on; it is taken for the
+    turn-th time, from 0. Ordered by slot and at, the pieces are the mix.
+    """
+    sized = _sized(docs)
+    return _scheduled(sized, plan(sized, weights)).select("slot", "at", "doc_id", "source", "key", "turn", "first", "words")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(doc_id, source, key, size, source_size, target, taken) for every row of docs (doc_id, text, source)."""
-    sized = cut(sizes(docs))
+    """(doc_id, source, key, size, source_size, target, taken, places) for every row of docs (doc_id, text, source).
+
+    places: the slot in which the document begins, for each time it is taken; null if it is not.
+    """
+    sized = _sized(docs)
     mixes = plan(sized, weights)
-    spark = docs.sparkSession
-    rows = [(m.source, m.size, m.target, m.words) for m in mixes]
-    known = spark.createDataFrame(rows, "_source string, source_size long, target double, words long")
-    # taken: whole turns of the tape, and the part of the document before the point where the last turn ends
-    at = tape(sized).join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_source")))
-    turns = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("words") - turns * F.col("source_size")
-    taken = turns * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("begin")))
-    return at.select("doc_id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    begins = F.collect_list(F.when(F.col("first") == 0, F.struct("turn", "slot")))  # REPEATS at most
+    given = _scheduled(sized, mixes).groupBy("row").agg(F.sum("words").alias("taken"), F.sort_array(begins)["slot"].alias("places"))
+    known = F.broadcast(_known(docs.sparkSession, mixes).drop("words"))
+    out = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).join(given, "row", "left")
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "places")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, in_order: bool = False) -> DataFrame:
     """The mix itself: docs' columns, a row for each time a document is taken; one that is cut gives its first words.
 
-    Rows that agree in doc_id, text and source share what they take evenly, to a word. _key, _source, _size and _taken are
+    in_order sorts the rows by the slots in which they begin (documents stay whole, also where a block ends in them). Rows that
+    agree in doc_id, text and source share what they take evenly, to a word. _key, _source, _size, _taken, _places and _slot are
     names of the operator's own: docs' columns of those names are dropped.
     """
-    docs = docs.drop("_key", "_source", "_size", "_taken")
-    each = mix(docs, weights).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source")).agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).alias("_taken"))
+    docs = docs.drop("_key", "_source", "_size", "_taken", "_places", "_slot")
+    each = mix(docs, weights).groupBy(F.col("key").alias("_key"), F.col("source").alias("_source"))
+    each = each.agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count("*")).alias("_taken"), F.min("places").alias("_places"))
     key = F.xxhash64(F.lit("mix"), "doc_id", "text")
     rows = docs.join(each, (key == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))).where("_taken > 0").drop("_key", "_source")
     names = docs.columns
-    text_at = names.index("text")
+    text_at, n = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, taken = b.column(len(names)).to_numpy(), b.column(len(names) + 1).to_numpy()
+            size, taken = b.column(n).to_numpy(), b.column(n + 1).to_numpy()
             whole, part = taken // size, taken % size
+            places = b.column(n + 2).to_pylist()
+            # rows alike share, so one may be taken once more than it has places
+            slot = lambda i, turn: places[i][min(turn, len(places[i]) - 1)]  # noqa: E731, B023
             if whole.any():
-                yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names).take(pa.array(np.repeat(np.arange(len(whole)), whole)))
+                full = np.repeat(np.arange(len(whole)), whole)
+                at = pa.array([slot(i, k) for i, m in enumerate(whole.tolist()) for k in range(m)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(full)) for c in b.columns[:n]), at], [*names, "_slot"])
             some = np.flatnonzero(part)
             if len(some):
-                cutted = b.take(pa.array(some))
+                cols = [c.take(pa.array(some)) for c in b.columns[:n]]
                 texts = []
-                for t, k in zip(cutted.column(text_at).to_pylist(), part[some].tolist(), strict=True):
+                for t, k in zip(cols[text_at].to_pylist(), part[some].tolist(), strict=True):
                     texts.append(t[: next(itertools.islice(_WORD.finditer(t), k - 1, None)).end()])
-                cols = cutted.columns[: len(names)]
                 cols[text_at] = pa.array(texts, cols[text_at].type)
-                yield pa.RecordBatch.from_arrays(cols, names)
+                at = pa.array([slot(i, int(whole[i])) for i in some.tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([*cols, at], [*names, "_slot"])
 
-    return rows.mapInArrow(lean(run), docs.schema)
+    out = rows.select(*names, "_size", "_taken", "_places").mapInArrow(lean(run), docs.schema.add("_slot", "long"))
+    return (out.orderBy("_slot") if in_order else out).drop("_slot")

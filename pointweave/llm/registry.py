@@ -42,7 +42,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix of sources takes."""
-    return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(table(session(spark), sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.get("places", F.lit(0)).alias("place"))
 
 
 def op7_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 
 from pointweave.config import Config
+from pointweave.operators import bins as binning
 from pointweave.plans import queries
 from pointweave.plans.mesher import SurfaceMesher
 from pointweave.plans.points import point_view
@@ -56,3 +57,36 @@ def test_a_stream_goes_on_with_the_files_that_came_since(spark, tmp_path):
     one = SurfaceMesher(spark, f"{tmp_path}/one", Config(block_dim=8), "up", False)
     one.ingest(0, 1, points.drop("total"))
     assert mesher.field().exceptAll(one.field()).count() == one.field().exceptAll(mesher.field()).count() == 0
+
+
+def test_what_waits_grows_with_bins_and_not_with_points(spark, tmp_path):
+    """Forty points a place wait as one row a bin and batch; the arrival is whole by its points, and equals one of all points."""
+    place = plane(spark, 0, 800, 0, 800, 0)
+    dense = place.crossJoin(spark.range(40).select(F.col("id").alias("i"))).withColumn("x", F.col("x") + F.col("i") % 7).drop("i")
+    n, cfg = dense.count(), Config(block_dim=8)
+    dense = dense.withColumn("total", F.lit(3 * n).cast("long"))
+    mesher = SurfaceMesher(spark, f"{tmp_path}/state", cfg, "up", False)
+    run = replay.Replay(mesher, f"{tmp_path}/points")
+    bins = binning.aggregate(dense, cfg).count()
+    assert bins * 4 < n
+    for batch, points in ((0, 1), (1, 2), (1, 2)):  # the second one comes again
+        run(dense, batch)
+        assert spark.read.parquet(f"{tmp_path}/points/waiting").count() == points * bins
+        assert run.waiting.counts() == [(1, 0, points * n, 3 * n)]
+    run(dense.withColumn("total", F.when(F.col("x") > 0, F.col("total"))), 2)  # not all of its points know the total
+    assert run.waiting.counts() == [(1, 0, 3 * n, None)] and mesher.refined_segments() == []
+    run.finish()
+    assert run.waiting.counts() == [] and mesher.refined_segments() == [0]
+    one = SurfaceMesher(spark, f"{tmp_path}/one", cfg, "up", False)
+    assert one.ingest(0, 1, dense.unionByName(dense).unionByName(dense).drop("total")).input_points == 3 * n
+    assert mesher.field().exceptAll(one.field()).count() == one.field().exceptAll(mesher.field()).count() == 0
+
+
+def test_sums_of_parts_add_up_to_those_of_all_points(spark):
+    """Nulls too: a bin whose points lack a coordinate or a colour, in some parts or in all."""
+    rows = [(0, 1, i % 5 * 60, 10 if i % 11 else None, 7, 0, i % 3 * 400, 1000 if i % 4 else None, None if i % 2 else i, 3, None) for i in range(300)]
+    points = spark.createDataFrame(rows, "seg int, level int, x long, y long, z long, nx long, ny long, nz long, r long, g long, b long")
+    parts = [binning.aggregate(points.where(F.col("r").isNull() == odd)) for odd in (True, False)]
+    merged, whole = binning.merged(parts[0].unionByName(parts[1])), binning.aggregate(points)
+    assert merged.columns == whole.columns
+    assert merged.exceptAll(whole).count() == whole.exceptAll(merged).count() == 0
